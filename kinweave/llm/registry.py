@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from kinweave.llm import simhash
+from kinweave.llm import simhash, substring
 
 QUERIES = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op10_substring_dedup": substring.op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_substring_dedup": substring.ORACLE,
+}
