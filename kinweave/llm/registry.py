@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from kinweave.llm import simhash, substring
+from kinweave.llm import packing, simhash, substring
 
 QUERIES = {
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
