@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from kinweave.llm import packing, simhash, substring
+from kinweave.llm import jpeg, language, packing, secretscan, simhash, substring, tokencount
 
 QUERIES = {
+    "op1_token_counts": tokencount.op1_token_counts,
+    "op2_language_id": language.op2_language_id,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_media_columns": jpeg.op6_media_columns,
+    "op7_secret_scans": secretscan.op7_secret_scans,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
