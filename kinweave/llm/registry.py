@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinweave.llm import decontaminate, jpeg, language, licences, packing, secretscan, simhash, substring, tokencount
+from kinweave.llm import decontaminate, fuzzylines, jpeg, language, licences, packing, secretscan, simhash, substring, tokencount
 
 QUERIES = {
     "op1_token_counts": tokencount.op1_token_counts,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_media_columns": jpeg.op6_media_columns,
     "op7_secret_scans": secretscan.op7_secret_scans,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op9_line_dedup": fuzzylines.op9_line_dedup,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
 
