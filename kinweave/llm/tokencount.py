@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import map_texts, table
 
 #: White-space chunks whose counts a task keeps.
-MEMO = 400_000
+MEMO = 800_000
 #: Words of a chunk: letters, one digit, or a run of other characters (fixed pattern of the public vocabulary).
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -113,6 +113,10 @@ class ChunkCounts(dict):
         return total >> 40, total & ((1 << 40) - 1)
 
 
+#: Counts by vocabulary, for each worker process.
+_SHARED: dict[str, ChunkCounts] = {}
+
+
 def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``(doc_id, n_words, n_tokens)``, one row for each input row.
 
@@ -122,7 +126,9 @@ def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     automaton = docs.sparkSession.sparkContext.broadcast(LongestMatch(vocabulary(tokenizer)))  # as large as the vocabulary
 
     def make():
-        counts = ChunkCounts(automaton.value)
+        if tokenizer not in _SHARED:
+            _SHARED[tokenizer] = ChunkCounts(automaton.value)
+        counts = _SHARED[tokenizer]
 
         def batch_of(texts, batch):
             found = [counts.of(t) if t else (0, 0) for t in texts]
