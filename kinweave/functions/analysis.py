@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinweave.functions.cleaning import strip_accents
 
@@ -52,7 +53,7 @@ def light_stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stemmed(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: None if ws is None else [light_stem(w) for w in ws])
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def exact(a: Column, b: Column) -> Column:
@@ -54,7 +55,7 @@ def jaro_winkler_value(a: str, b: str) -> float:
     return jaro
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     seen: dict[tuple, float] = {}
     out = []
