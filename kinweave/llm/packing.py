@@ -23,6 +23,7 @@ import os
 import re
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ CAPACITY, GROUPS, BUCKETS = 2048, 64, 128
 #: Lengths up to such a share of the capacity count as small; the share that packs best is taken.
 SMALL = (1 / 8, 1 / 4, 1 / 3, 0.45, 1 / 2)
 #: Chunks whose token ids a task keeps.
-MEMO = 400_000
+MEMO = 800_000
 _WHOLE = re.compile(r"<\||[\x1c-\x1f]")
 
 
@@ -95,11 +96,17 @@ class ChunkTokens:
         return [np.array(whole[i], np.uint32) if i in whole else flat[edges[i] : edges[i + 1]] for i in range(len(texts))]
 
 
+@lru_cache(maxsize=2)
+def _shared_tokens(path: str) -> ChunkTokens:
+    """One for each worker process, whose later tasks find the chunks of earlier ones."""
+    return ChunkTokens(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``; null text is empty, ``end_id`` follows every text."""
 
     def make():
-        tokens = ChunkTokens(tokenizer)
+        tokens = _shared_tokens(tokenizer)
 
         def batch_of(texts, batch):
             row, piece, start, length, crc = [], [], [], [], []
