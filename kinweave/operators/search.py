@@ -194,7 +194,8 @@ class Search:
         if not self.filtered:
             open_keys = open_keys.where(F.lit(self.on_empty == "match_all"))
         k = self.phase.candidate_limit
-        if self.filtered or self.on_empty == "match_all":
+        # Mostly every row has a clause that must hit, and that is known from the source alone.
+        if (self.filtered or self.on_empty == "match_all") and not open_keys.isEmpty():
             seen = found.select("key", ID, "bits")
             most = seen.join(open_keys.select("key"), "key", "left_semi").groupBy("key").count().agg(F.max("count")).first()[0] or 0  # one number
             group = [f"doc{j}" for j in range(len(self.dynamic))]
