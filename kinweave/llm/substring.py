@@ -5,7 +5,7 @@ short windows inside each wanted window only the one with the smallest hash is
 kept: two equal wanted windows keep the same one, so nothing is lost while only
 about a quarter of the positions travel. Short windows that occur in one document
 alone end there. Level two extends the survivors to the wanted length, which is
-twice the short one less the shared word, hashes those to 128 bits and finds the
+twice the short one less the shared word, hashes those to 96 bits and finds the
 smallest doc_id that starts each. Words covered by a window that also starts in a
 document with a smaller doc_id are removed.
 
@@ -142,9 +142,9 @@ def long_windows(docs: DataFrame, window: int) -> DataFrame:
         memo = WordHashes()
 
         def batch_of(texts, batch):
-            alive = batch.column("alive")
-            flat = Flat([t if live else None for t, live in zip(texts, alive.is_valid().to_pylist())], window)
-            none = {"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64()), "salt": pa.array([], pa.int32()), "doc_id": pa.array([], pa.int64())}
+            alive, copy = batch.column("alive"), batch.column("copy").to_pylist()
+            flat = Flat([t if live and not c else None for t, live, c in zip(texts, alive.is_valid().to_pylist(), copy)], window)
+            none = {"x": pa.array([], pa.int64()), "y": pa.array([], pa.int32()), "salt": pa.array([], pa.int32()), "doc_id": pa.array([], pa.int64())}
             if not len(flat.at):
                 return none
             first, second = memo.of(flat.words)
@@ -161,12 +161,12 @@ def long_windows(docs: DataFrame, window: int) -> DataFrame:
             order = np.lexsort((x, doc))
             new = np.concatenate(([True], (x[order][1:] != x[order][:-1]) | (doc[order][1:] != doc[order][:-1]))) if len(order) else np.empty(0, bool)
             one = np.sort(order[new])
-            x, y, doc = x[one], y[one], doc[one]
+            x, y, doc = x[one], (y[one] >> np.int64(32)).astype(np.int32), doc[one]
             return {"x": pa.array(x), "y": pa.array(y), "salt": pa.array(_settled([x, y], doc)), "doc_id": pa.array(doc)}
 
         return batch_of
 
-    return map_texts(docs, make, "x long, y long, salt int, doc_id long")
+    return map_texts(docs, make, "x long, y int, salt int, doc_id long")
 
 
 def without_repeats(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -181,6 +181,9 @@ def without_repeats(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
             ends = np.cumsum(flat.counts)
             removed = np.zeros(len(flat.words), bool)
             hit = gone.is_valid().to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero(batch.column("copy").fill_null(False).to_numpy(zero_copy_only=False) & (flat.counts >= window)):
+                removed[ends[i] - flat.counts[i] : ends[i]] = True
+                hit[i] = False
             if hit.any():
                 x = rolled(memo.of(flat.words)[0], window, _STEP[0]).view(np.int64) if len(flat.words) else np.empty(0, np.int64)
                 for i in np.flatnonzero(hit):
@@ -215,6 +218,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    copies = later_copies(docs)
     by_hash = Window.partitionBy("h", "own")
     alive = (
         short_windows(docs, window).withColumn("own", F.greatest("salt", F.lit(0)))
@@ -224,11 +228,21 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     alive = alive.groupBy("doc_id").agg(F.collect_set("h").alias("alive"))
     by_window = Window.partitionBy("x", "y", "own")
     gone = (
-        long_windows(docs.join(alive, "doc_id", "left"), window).withColumn("own", F.greatest("salt", F.lit(0)))
+        long_windows(docs.join(alive, "doc_id", "left").join(copies, "doc_id", "left"), window).withColumn("own", F.greatest("salt", F.lit(0)))
         .withColumn("lo", F.min("doc_id").over(by_window))
         .where("salt > 0 or lo < doc_id").groupBy("doc_id").agg(F.collect_set("x").alias("gone"))
     )
-    return without_repeats(docs.join(gone, "doc_id", "left"), window, with_text)
+    return without_repeats(docs.join(gone, "doc_id", "left").join(copies, "doc_id", "left"), window, with_text)
+
+
+def later_copies(docs: DataFrame) -> DataFrame:
+    """``(doc_id, copy)`` of documents whose entire text a smaller doc_id has: every window
+    of theirs repeats, so only the first copy's windows need to travel. A doc_id with more
+    than one text counts if a smaller one has each of them."""
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    low = texts.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "lo")
+    found = texts.join(low, ["a", "b"], "left").groupBy("doc_id").agg(F.min(F.coalesce(F.col("lo") < F.col("doc_id"), F.lit(False))).alias("copy"))
+    return found.where("copy")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
