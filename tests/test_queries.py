@@ -47,3 +47,21 @@ def test_entry_points():
     import __spark_entry__
 
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["block_term_must", "block_should_optional", "block_must_not", "block_phrase", "block_fuzzy_auto", "filter_column_dynamic", "filter_merge"])
+def test_people_without_birth_date_have_candidates(spark, sf_dir, name):
+    """All people are searched, those without a birth date by the other rules."""
+    some, every = (QUERIES[n](spark, sf_dir).select("rec_id").distinct() for n in (name, f"{name}_all"))
+    some, every = ({r[0] for r in x.collect()} for x in (some, every))
+    assert some <= every and every - some and all(k % 17 == 0 for k in every - some)
+
+
+def test_cascade_gets_all_people(spark, sf_dir, monkeypatch):
+    from kinweave import queries
+
+    seen = []
+    monkeypatch.setattr(queries, "cascade", lambda source, *a: seen.append(source.count()) or [])
+    monkeypatch.setattr(queries, "union_phases", lambda frames: None)
+    queries._linked(spark, sf_dir, queries.FIRST)
+    assert seen == [queries.people(spark, sf_dir).count()]
