@@ -12,18 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.plans.staging import release, staged
+from kinweave.plans.staging import dealt, release, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select(F.col("v"), F.col("u")))
     low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(low, "a").where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(dealt(low), "a").where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(dealt(low), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(low.select("u", "m")).distinct()
 
 
