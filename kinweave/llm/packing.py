@@ -20,33 +20,35 @@ from __future__ import annotations
 
 import bisect
 import os
-import re
 import zlib
 from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import map_texts, table
+from kinweave.llm.common import slices, table
 from kinweave.plans.staging import staged
 
 CAPACITY, GROUPS, BUCKETS = 2048, 64, 128
 #: Lengths up to such a share of the capacity count as small; the share that packs best is taken.
 SMALL = (1 / 8, 1 / 4, 1 / 3, 0.45, 1 / 2)
-#: Chunks whose token ids a task keeps.
-MEMO = 800_000
-_WHOLE = re.compile(r"<\||[\x1c-\x1f]")
+#: Chunks whose token ids a worker keeps, and their characters.
+MEMO, MEMO_CHARS = 800_000, 16 << 20
+_WHOLE = r"<\||[\x1c-\x1f]"
 
 
 class ChunkTokens:
     """Token ids of texts by white-space chunks, each chunk encoded once.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are
-    those of its chunks. A text with a special token's opening or a control character
-    that only one side takes for white space is encoded as a whole.
+    The tokenizer drops white space and never joins across it, parts letters from the
+    punctuation that follows, and lower-cases all, so a text's ids are those of its chunks,
+    also with a space put before such punctuation and with ASCII chunks in lower case.
+    A text with a special token's opening or a control character that only one side takes
+    for white space is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -58,13 +60,31 @@ class ChunkTokens:
 
     def _reset(self) -> None:
         self.at: dict[str, int] = {}
+        self.chars = 0
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.begin, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.begin, self.size, self.again = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32), np.zeros(1 << 14, bool)
+
+    def _shrink(self) -> None:
+        """Keep the chunks that came up in more than one batch, unless they alone are too many."""
+        keep = np.flatnonzero(self.again[: len(self.at)])
+        chunks = [c for c, more in zip(self.at, self.again[: len(self.at)].tolist()) if more]
+        chars = sum(map(len, chunks))
+        begin, size, flat = self.begin[keep], self.size[keep], self.flat
+        self._reset()
+        if len(chunks) > MEMO // 2 or chars > MEMO_CHARS // 2:
+            return
+        stop = np.cumsum(size, dtype=np.int64)
+        self.flat = flat[np.repeat(begin - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+        self.begin, self.size, self.again = stop - size, size, np.zeros(len(size), bool)
+        self.used, self.chars, self.at = len(self.flat), chars, dict(zip(chunks, range(len(chunks))))
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.at) > MEMO:
-            self._reset()
-        new = [c for c in dict.fromkeys(chunks) if c not in self.at]
+        """Make sure of these distinct chunks."""
+        if len(self.at) > MEMO or self.chars > MEMO_CHARS:
+            self._shrink()
+        found = [self.at.get(c, -1) for c in chunks]
+        new = [c for c, k in zip(chunks, found) if k < 0]
+        self.again[[k for k in found if k >= 0]] = True
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             # One call for all of them; a token belongs to the chunk that its offset lies in.
@@ -73,26 +93,33 @@ class ChunkTokens:
             owner = np.searchsorted(starts, np.fromiter((o[0] for o in enc.offsets), np.int64, len(enc.ids)), "right") - 1
             size, k = np.bincount(owner, minlength=len(part)), len(self.at)
             while k + len(part) > len(self.begin):
-                self.begin, self.size = (np.concatenate((x, np.empty_like(x))) for x in (self.begin, self.size))
+                self.begin, self.size, self.again = (np.concatenate((x, np.zeros(max(1 << 14, len(x)), x.dtype))) for x in (self.begin, self.size, self.again))
             while self.used + len(owner) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+                self.flat = np.concatenate((self.flat, np.empty(max(1 << 16, len(self.flat)), np.uint32)))
             self.flat[self.used : self.used + len(owner)] = enc.ids
             self.size[k : k + len(part)] = size
             self.begin[k : k + len(part)] = self.used + np.cumsum(size) - size
             self.used += len(owner)
+            self.chars += int(starts[-1])
             self.at.update(zip(part, range(k, k + len(part))))
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as unsigned 32-bit numbers."""
-        whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if _WHOLE.search(t)}
-        parts = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        chunks = [c for p in parts for c in p]
-        self._learn(chunks)
-        k = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
-        size = self.size[k]
+    def ids(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """The ids of each text, as unsigned 32-bit numbers; null is empty."""
+        texts = pc.fill_null(texts, "")
+        apart = pc.match_substring_regex(texts, _WHOLE)
+        whole = {i: self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(apart.to_numpy(zero_copy_only=False)).tolist()}
+        parts = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.if_else(apart, "", texts), r"([A-Za-z])([.,;:!?])", r"\1 \2"))
+        each = parts.flatten()
+        # Python sees each different chunk of a batch once; white space at an end gives an empty one, of no tokens.
+        coded = pc.if_else(pc.string_is_ascii(each), pc.ascii_lower(each), each).dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        self._learn([c for c in chunks if c])
+        known = np.fromiter((self.at[c] if c else -1 for c in chunks), np.int64, len(chunks))
+        k = known[coded.indices.to_numpy()] if len(chunks) else np.empty(0, np.int64)
+        size = np.where(k < 0, 0, self.size[k])
         stop = np.cumsum(size)
         flat = self.flat[np.repeat(self.begin[k] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
-        edges = np.concatenate(([0], stop))[np.concatenate(([0], np.cumsum([len(p) for p in parts])))]
+        edges = np.concatenate(([0], stop))[np.concatenate(([0], np.cumsum(pc.list_value_length(parts).to_numpy())))]
         return [np.array(whole[i], np.uint32) if i in whole else flat[edges[i] : edges[i + 1]] for i in range(len(texts))]
 
 
@@ -108,9 +135,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     def make():
         tokens = _shared_tokens(tokenizer)
 
-        def batch_of(texts, batch):
+        def batch_of(batch):
             row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(tokens.ids([t or "" for t in texts])):
+            for i, ids in enumerate(tokens.ids(batch.column("text").cast(pa.string()))):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for p, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
@@ -119,7 +146,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
         return batch_of
 
-    return map_texts(docs, make, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    def run(batches):
+        batch_of = make()
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_pydict(batch_of(batch))
+
+    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
