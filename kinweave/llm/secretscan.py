@@ -2,8 +2,13 @@
 
 Patterns find assignments, access ids and long hexadecimal strings. Beyond those,
 base64 and hexadecimal candidates are decoded and reported only if what they hold parses:
-DER key encodings with nested lengths that add up, the length-prefixed fields of an
-OpenSSH key, or a signed token whose header and claims are JSON.
+the DER encoding of a private key, whose nested lengths add up and whose elements are
+those of PKCS#1, DSA, SEC 1 or PKCS#8 (plain or encrypted), the length-prefixed fields of an
+OpenSSH key, or a signed token whose header and claims are JSON. Structure can't tell a key from
+one whose numbers were altered without moving a length. Public keys are no secrets.
+
+An encoding says how long it is, so a candidate may follow or precede other characters, be
+broken into lines, use either base64 alphabet, or hexadecimal digits of either case.
 """
 
 from __future__ import annotations
@@ -28,9 +33,19 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "jwt", "key")
 
 _WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+# A header's first byte is a brace or JSON white space.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[eICD][A-Za-z0-9_-]{7,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s\\]*)-----END \1PRIVATE KEY-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P]|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/]{38,}={0,2}")
+# How a SEQUENCE of some length, and an OpenSSH key, begin in base64 and in hexadecimal digits.
+_STARTS = (
+    (re.compile(r"M[A-P][A-Za-z0-9+/_-]{6}"), 64), (re.compile(r"b3BlbnNzaC1rZXktdjEA"), 64),
+    (re.compile(r"30[0-9A-Fa-f]{6}"), 16), (re.compile(r"6[fF]70656[eE]7373682[dD]6[bB]65792[dD]763100"), 16),
+)
+_RUN = {64: re.compile(r"[A-Za-z0-9+/_-]+"), 16: re.compile(r"[0-9A-Fa-f]+")}
+_BREAK = re.compile(r"(?:\\[rn]|[\r\n\t ])*")
+_SAFE = str.maketrans("-_", "+/")
+#: Bytes that a key's encoding may take: four times those of the largest keys in use.
+MOST = 1 << 16
 
 
 def der_end(data: bytes, at: int, stop: int, depth: int = 0) -> int:
@@ -57,53 +72,71 @@ def der_end(data: bytes, at: int, stop: int, depth: int = 0) -> int:
     return at + size
 
 
+def _header(data: bytes) -> tuple[int, int]:
+    """Of a DER value its content's offset and its end, by its own first bytes."""
+    size = data[1]
+    if size < 0x80:
+        return 2, 2 + size
+    n = size & 0x7F
+    return 2 + n, 2 + n + int.from_bytes(data[2 : 2 + n], "big")
+
+
 def is_der_key(data: bytes) -> bool:
-    """A SEQUENCE over all the bytes, nested right, with the shape of a key encoding: a small
-    version or an algorithm first, then an integer, a bit string or an octet string."""
+    """A SEQUENCE over all the bytes, nested right, with the elements of a private key's encoding."""
     if len(data) < 24 or data[0] != 0x30 or der_end(data, 0, len(data)) != len(data):
         return False
-    at = 2 + (data[1] & 0x7F if data[1] & 0x80 else 0)
-    tags = []
-    while at < len(data) and len(tags) < 10:
+    at, parts = _header(data)[0], []
+    while at < len(data) and len(parts) < 11:
         end = der_end(data, at, len(data))
-        tags.append((data[at], data[at:end]))
+        parts.append(data[at:end])
         at = end
-    kinds = [t for t, _ in tags]
-    if len(kinds) < 2:
-        return False
-    if kinds[0] == 0x02 and len(tags[0][1]) == 3:  # PKCS#1, SEC 1, PKCS#8
-        return kinds[1] in (0x02, 0x04, 0x30) and (kinds[1] != 0x30 or 0x04 in kinds)
-    return kinds[0] == 0x30 and tags[0][1][2:3] == b"\x06" and kinds[1] in (0x03, 0x04)  # public or encrypted key
-
-
-def is_openssh_key(data: bytes) -> bool:
-    """``openssh-key-v1``: cipher, derivation, options, then as many keys as it says."""
+    kinds, version = bytes(p[0] for p in parts), parts[0][2:] if parts and parts[0][0] == 2 else b""
+    if kinds in (b"\2" * 9, b"\2" * 9 + b"\x30"):  # PKCS#1; a tenth element lists more primes
+        return version == (b"\0" if len(parts) == 9 else b"\1") and len(parts[1]) > 32
+    if kinds == b"\2" * 6:  # DSA
+        return version == b"\0" and len(parts[1]) > 32
+    if kinds[:2] == b"\2\4":  # SEC 1: a number, then the curve and the public point if they are there
+        return version == b"\1" and 20 <= len(parts[1]) - 2 <= 66 and kinds[2:] in (b"", b"\xa0", b"\xa1", b"\xa0\xa1")
+    names_algorithm = lambda p: p[0] == 0x30 and p[_header(p)[0] :][:1] == b"\6"
+    if kinds[:3] == b"\2\x30\4":  # PKCS#8
+        return version in (b"\0", b"\1") and names_algorithm(parts[1]) and set(kinds[3:]) <= {0xA0, 0xA1, 0x81}
+    return kinds == b"\x30\4" and names_algorithm(parts[0]) and len(parts[1]) > 24  # PKCS#8, encrypted
+
+
+def openssh_end(data: bytes) -> int:
+    """Where an ``openssh-key-v1`` ends: cipher, derivation, options, then as many keys as it says; -1 if it is none."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
+        return -1
     at = len(magic)
     for _ in range(3):
-        size = int.from_bytes(data[at : at + 4], "big")
-        at += 4 + size
-        if at > len(data):
-            return False
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
     for _ in range(keys + 1 if 1 <= keys <= 16 else 0):
         if at + 4 > len(data):
-            return False
+            return -1
         at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return 1 <= keys <= 16 and at == len(data)
+    return at if 1 <= keys <= 16 and at <= len(data) else -1
+
+
+def is_openssh_key(data: bytes) -> bool:
+    return openssh_end(data) == len(data)
 
 
 def is_key(data: bytes) -> bool:
     return is_der_key(data) or is_openssh_key(data)
 
 
-def _decoded(text: str, safe: bool = False) -> bytes | None:
+def _decoded(text: str, safe: bool = False, base: int = 64) -> bytes | None:
+    """The bytes that digits stand for; what is left of an incomplete byte is dropped."""
+    if base == 16:
+        return bytes.fromhex(text[: len(text) // 2 * 2])
     text = text.rstrip("=")
     if len(text) % 4 == 1:
-        return None
+        if safe:
+            return None
+        text = text[:-1]
     try:
         return base64.b64decode(text + "=" * (-len(text) % 4), altchars=b"-_" if safe else None, validate=True)
     except (binascii.Error, ValueError):
@@ -134,26 +167,64 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def confirmed_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans whose decoded bytes parse."""
-    found = set()
-    if "eyJ" in text:
+def encoded_key(text: str, at: int, base: int) -> int:
+    """Where the key that begins at ``at``, in base64 or base 16, ends in the text; -1 if there is none."""
+    first, per = text[at : at + 8].translate(_SAFE), 4 / 3 if base == 64 else 2
+    head = base64.b64decode(first) if base == 64 else bytes.fromhex(first)
+    if head[0] == 0x30:
+        size = _header(head)[1] if head[1] <= 0x82 else 0
+        if not 24 <= size <= MOST:
+            return -1
+    else:
+        size = MOST
+    need = -int(-size * per // 1)
+    # Runs of digits, joined over line breaks, up to what the header asks for.
+    digits, ends, where = [], [], at
+    held = 0
+    while held < need:
+        run = _RUN[base].match(text, where, min(len(text), where + need - held))
+        if not run:
+            break
+        held += len(run[0])
+        digits.append(run[0])
+        ends.append((held, run.end()))
+        where = _BREAK.match(text, run.end()).end()
+    if head[0] == 0x30 and held < need:
+        return -1
+    whole = "".join(digits)
+    data = _decoded(whole.translate(_SAFE) if base == 64 else whole, base=base)
+    if data is None:
+        return -1
+    end = len(data) if head[0] == 0x30 and is_der_key(data[:size]) else openssh_end(data)
+    if end < 0:
+        return -1
+    need = -int(-(size if head[0] == 0x30 else end) * per // 1)
+    held, stop = next(x for x in ends if x[0] >= need)
+    stop -= held - need
+    if base == 64 and need % 4 and text.startswith("=" * (4 - need % 4), stop):
+        stop += 4 - need % 4
+    return stop
+
+
+def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
+    """Spans whose decoded bytes parse, keys without overlap."""
+    found, taken = set(), []
+    if "." in text:
         found |= {(m.start(), 3, m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])}
     if "PRIVATE KEY-----" in text:
         for m in _ARMOUR.finditer(text):
             data = _decoded(re.sub(r"\\[nr]|\s|\\", "", m[2]))
             if data and is_key(data):
-                found.add((m.start(), 4, m.end()))
-    inside = [(a, b) for a, k, b in found if k == 4]
-    for m in _BASE64.finditer(text):
-        if not any(a <= m.start() < b for a, b in inside):
-            data = _decoded(m[0])
-            if data and is_key(data):
-                found.add((m.start(), 4, m.end()))
-    for a, kind, b in base:
-        if kind == 2 and (b - a) % 2 == 0 and text.startswith("30", a) and is_key(bytes.fromhex(text[a:b])):
-            found.add((a, 4, b))
-    return sorted(found)
+                taken.append((m.start(), m.end()))
+    for pattern, digits in _STARTS:
+        m = pattern.search(text)
+        while m:
+            a = m.start()
+            b = next((y for x, y in taken if x <= a < y), -1)
+            if b < 0 and (b := encoded_key(text, a, digits)) >= 0:
+                taken.append((a, b))
+            m = pattern.search(text, max(a + 1, b))
+    return sorted(found | {(a, 4, b) for a, b in taken})
 
 
 def _listed(spans: list[tuple[int, int, int]]) -> str:
@@ -170,7 +241,7 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     def make():
         def batch_of(texts, batch):
             base = [base_spans(t) if t else [] for t in texts]
-            spans = [_listed(b + confirmed_spans(t, b)) if t else "" for t, b in zip(texts, base)]
+            spans = [_listed(b + confirmed_spans(t)) if t else "" for t, b in zip(texts, base)]
             count = lambda k: pa.array([sum(x[1] == k for x in b) for b in base], pa.int64())
             return {"doc_id": batch.column("doc_id"), "n_assign": count(0), "n_access": count(1), "n_hex": count(2), "base_sha256": [hashlib.sha256(_listed(b).encode()).hexdigest() for b in base], "spans": spans}
 
