@@ -19,8 +19,8 @@ from kinweave.sources.index import ID, TextIndex
 def candidate_pairs(source: DataFrame, index: TextIndex, spec: LinkageSpec, phase: Phase, on_empty: str = "match_all") -> DataFrame:
     """``source_*`` columns, ``candidate_*`` fields as text, and ``es_score``."""
     filters = spec.filters_of(phase)
-    columns = key_columns(phase, dynamic_columns(filters), spec.id_source_table)
-    hits = Search(index, phase, filters, on_empty).candidates(source, spec.id_source_table)
+    columns = key_columns(phase, dynamic_columns(filters))
+    hits = Search(index, phase, filters, on_empty).candidates(source)
     fields = [f.partition(".")[0] for f in spec.target_columns(phase)]
     fields = list(dict.fromkeys(fields))
     docs = index.docs.select(ID, *(F.col(f).cast("string").alias(f"candidate_{f}") for f in fields))

@@ -1,8 +1,12 @@
 """Blocking search: the top-k boolean text join of source rows with an index.
 
-Each rule becomes a relation of hits from an equi-join on terms, values, prefixes or
-expanded terms. Hits are aggregated by source row and document into a mask of rules and
-a score; the boolean logic is a comparison of masks, and a window keeps the best.
+Source rows that read alike are one query. A query with required whole values (``must`` or
+``filter`` rules on keyword, number, date or boolean fields) is joined with the documents
+on all of them and on the dynamic columns at once; its other rules are only looked up for the
+pairs that this gives. For other queries each rule becomes a relation of hits from an
+equi-join on terms, values, prefixes or expanded terms, and on the dynamic columns. Hits are
+aggregated by query and document into a mask of rules and a score; the boolean logic
+is a comparison of masks, and a window keeps the best.
 """
 
 from __future__ import annotations
@@ -15,11 +19,14 @@ from pyspark.sql import functions as F
 
 from kinweave.operators.filters import dynamic_columns, static_predicate
 from kinweave.plans.spec import Filter, Phase, Rule, SpecError
+from kinweave.plans.staging import staged
 from kinweave.sources.index import ID, TextIndex
 
 K1, B = 1.2, 0.75
 #: Index terms that a fuzzy query term may stand for, as search engines have it.
 MAX_EXPANSIONS = 50
+#: Letters of a term up to which it is matched with edits; longer ones are matched as they are.
+FUZZY_LETTERS = 255
 _CLAUSES, _QUERIES = ("must", "filter", "must_not", "should"), ("match", "term", "match_phrase", "prefix")
 
 
@@ -73,12 +80,12 @@ def expand_fuzzy(queries: DataFrame, terms: DataFrame, limit: int = MAX_EXPANSIO
 
     Both dictionaries meet on shared deletions, so only near terms are ever compared.
     """
-    q = queries.select("q").distinct().withColumn("k", auto_edits(F.length("q")))
+    q = queries.select("q").distinct().withColumn("k", F.when(F.length("q") <= FUZZY_LETTERS, auto_edits(F.length("q"))).otherwise(0))
     same = q.join(terms, q["q"] == terms["term"]).select("q", "term", F.lit(0).alias("edits"))
     found = same
     for k in (1, 2):
         left = q.where(F.col("k") == k).select("q", F.explode(deletions(F.col("q"), k)).alias("d"))
-        right = terms.where(F.length("term") >= (2 if k == 1 else 4)).select("term", F.explode(deletions(F.col("term"), k)).alias("d"))
+        right = terms.where(F.length("term").between(2, 6) if k == 1 else F.length("term").between(4, FUZZY_LETTERS + 2)).select("term", F.explode(deletions(F.col("term"), k)).alias("d"))
         near = left.join(right, "d").where("q <> term").select("q", "term").distinct()
         found = found.union(near.withColumn("edits", edit_distance(F.col("q"), F.col("term"), k)).where("edits is not null"))
     order = Window.partitionBy("q").orderBy("edits", "term")
@@ -98,6 +105,10 @@ class Search:
         self.filtered = static is not None or bool(self.dynamic)
         self.docs = index.docs.where(static) if static is not None else index.docs
         self.restricted = static is not None
+        # Dynamic columns: equal whole values, or a term of a text field.
+        self.equal = [(n, f) for n, f in self.dynamic if index.kind(f) != "text"]
+        self.within = [(n, f) for n, f in self.dynamic if index.kind(f) == "text"]
+        self.ties = [f"tie{j}" for j in range(len(self.equal))]
         self._posted: dict[str, tuple[DataFrame, DataFrame]] = {}
 
     # --- hits of one rule: (key, _id, rule, score) ----------------------------------
@@ -111,25 +122,37 @@ class Search:
             self._posted[field] = mine, terms.crossJoin(F.broadcast(self.index.field_stats(field)))  # the statistics are one row
         return self._posted[field]
 
-    def _text(self, probes: DataFrame, r: Rule) -> DataFrame:
+    def _meet(self, asked: DataFrame, postings: DataFrame, pairs: DataFrame | None) -> DataFrame:
+        """Postings of the asked terms, in the given pairs only or in documents with equal dynamic columns."""
+        if pairs is not None:
+            return asked.join(pairs.select("key", ID), "key").join(postings, [ID, "term"])
+        return asked.join(self._tied(postings), ["term", *self.ties])
+
+    def _tied(self, rows: DataFrame) -> DataFrame:
+        """Rows of documents with their dynamic columns."""
+        return rows.join(self.docs.select(ID, *self._tie_values()), ID) if self.ties else rows
+
+    def _tie_values(self) -> list[Column]:
+        return [self.index.value(f).alias(t) for t, (_, f) in zip(self.ties, self.equal)]
+
+    def _text(self, probes: DataFrame, r: Rule, pairs: DataFrame | None = None) -> DataFrame:
         postings, terms = self._postings(r.target_column)
         boost = float(r.boost or 1.0)
         idf = _idf(F.col("n_docs"), F.col("df"))
         if r.query_type == "prefix":
-            v = probes.select("key", F.col("v").cast("string").alias("p"))
-            starts = terms.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("p"))
-            return v.join(starts, "p").join(postings, "term").groupBy("key", ID).agg(F.lit(boost).alias("score"))
+            v = probes.select("key", *self.ties, F.col("v").cast("string").alias("p"))
+            return self._meet(_started(v, terms.select("term")), postings, pairs).groupBy("key", ID).agg(F.lit(boost).alias("score"))
         if r.query_type == "term":
-            q = probes.select("key", F.col("v").cast("string").alias("q"), F.lit(0).alias("qpos"))
+            q = probes.select("key", *self.ties, F.col("v").cast("string").alias("q"), F.lit(0).alias("qpos"))
         else:
-            q = probes.select("key", F.posexplode(self.index.analyze(r.target_column, F.col("v"))).alias("qpos", "q"))
+            q = probes.select("key", *self.ties, F.posexplode(self.index.analyze(r.target_column, F.col("v"))).alias("qpos", "q"))
         if r.query_type == "match" and r.is_fuzzy:
             near = expand_fuzzy(q, terms.select("term"))
             weight = F.when(F.col("edits") == 0, 1.0).otherwise(1 - F.col("edits") / F.least(F.length("q"), F.length("term")))
-            q = q.join(near, "q").select("key", "qpos", "term", weight.alias("w"))
+            q = q.join(near, "q").select("key", *self.ties, "qpos", "term", weight.alias("w"))
         else:
-            q = q.select("key", "qpos", F.col("q").alias("term"), F.lit(1.0).alias("w"))
-        hits = q.join(terms, "term").join(postings, "term")
+            q = q.select("key", *self.ties, "qpos", F.col("q").alias("term"), F.lit(1.0).alias("w"))
+        hits = self._meet(q.join(terms, "term"), postings, pairs)
         if r.query_type == "match_phrase":
             wanted = q.groupBy("key").agg(F.count(F.lit(1)).alias("want"))
             at = hits.select("key", ID, "dl", "avgdl", "qpos", idf.alias("idf"), F.explode(F.transform("positions", lambda p: p - F.col("qpos"))).alias("start"))
@@ -140,73 +163,146 @@ class Search:
     def _value(self, probes: DataFrame, r: Rule) -> DataFrame:
         """Whole values: keyword, number, date, boolean."""
         field, boost = r.target_column, float(r.boost or 1.0)
-        kind = self.index.kind(field)
-        values = self.docs.select(ID, self.index.value(field).alias("t")).where("t is not null")
+        values = self.docs.select(ID, self.index.value(field).alias("t"), *self._tie_values()).where("t is not null")
         if r.query_type == "prefix":
-            starts = values.select(F.col("t").cast("string").alias("t")).distinct()
-            starts = starts.select("t", F.explode(F.transform(F.sequence(F.lit(1), F.length("t")), lambda n: F.substring(F.col("t"), F.lit(1), n))).alias("p"))
-            v = probes.select("key", F.col("v").cast("string").alias("p"))
-            return v.join(starts, "p").join(values.withColumn("t", F.col("t").cast("string")), "t").groupBy("key", ID).agg(F.lit(boost).alias("score"))
-        typed = probes.select("key", _typed(self.index, field, F.col("v")).alias("t")).where("t is not null")
-        if kind != "keyword":
-            return typed.join(values, "t").select("key", ID, F.lit(boost).alias("score"))
-        every = self.index.docs.select(self.index.value(field).alias("t")).where("t is not null")
+            v = probes.select("key", *self.ties, F.col("v").cast("string").alias("p"))
+            asked = _started(v, values.select(F.col("t").cast("string").alias("term")).distinct())
+            return asked.join(values.withColumn("term", F.col("t").cast("string")), ["term", *self.ties]).groupBy("key", ID).agg(F.lit(boost).alias("score"))
+        typed = probes.select("key", *self.ties, _typed(self.index, field, F.col("v")).alias("t")).where("t is not null")
+        if self.index.kind(field) != "keyword":
+            return typed.join(values, ["t", *self.ties]).select("key", ID, F.lit(boost).alias("score"))
+        return typed.join(self._value_scores(r), "t").join(values, ["t", *self.ties]).select("key", ID, "score")
+
+    def _value_scores(self, r: Rule) -> DataFrame:
+        """``(t, score)`` of the values of a keyword field."""
+        every = self.index.docs.select(self.index.value(r.target_column).alias("t")).where("t is not null")
         stats = every.groupBy("t").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(every.agg(F.count(F.lit(1)).alias("n_docs"))))  # one row
-        return typed.join(stats, "t").join(values, "t").select("key", ID, (F.lit(boost) * _idf(F.col("n_docs"), F.col("df")) / (1 + K1)).alias("score"))
+        return stats.select("t", (F.lit(float(r.boost or 1.0)) * _idf(F.col("n_docs"), F.col("df")) / (1 + K1)).alias("score"))
+
+    def _bound(self, probe: DataFrame, required: dict[int, Rule]) -> DataFrame:
+        """``(key, _id, bit, score)`` of queries whose ``bound`` bits name the required values they have."""
+        values = [(i, r) for i, r in self.rules if self.index.kind(r.target_column) != "text"]
+        asked = probe
+        for i, r in values:
+            v = F.when(F.col(f"alive{i}"), F.col(f"`{r.source_column}`"))
+            asked = asked.withColumn(f"t{i}", v.cast("string") if r.query_type == "prefix" else _typed(self.index, r.target_column, v))
+            if r.es_clause_type in ("must", "should") and r.query_type != "prefix" and self.index.kind(r.target_column) == "keyword":
+                asked = asked.join(self._value_scores(r).select(F.col("t").alias(f"t{i}"), F.col("score").alias(f"s{i}")), f"t{i}", "left")
+            else:
+                asked = asked.withColumn(f"s{i}", F.lit(float(r.boost or 1.0) if r.es_clause_type in ("must", "should") else 0.0))
+        asked = asked.select("key", "bound", *self.ties, *(f"{c}{i}" for i, _ in values for c in "ts"))
+        docs = self.docs.select(ID, *self._tie_values(), *(self.index.value(r.target_column).alias(f"d{i}") for i, r in values))
+        found = []
+        for bound in sorted(r["bound"] for r in probe.select("bound").where("bound > 0").distinct().collect()):  # one for each set of required rules
+            on = [F.col(f"a.{t}") == F.col(f"b.{t}") for t in self.ties] + [F.col(f"a.t{i}") == F.col(f"b.d{i}") for i in required if bound >> i & 1]
+            pairs = asked.where(F.col("bound") == bound).alias("a").join(docs.alias("b"), reduce(lambda x, y: x & y, on))
+            hit = {i: F.col(f"b.d{i}").cast("string").startswith(F.col(f"a.t{i}")) if r.query_type == "prefix" else F.col(f"a.t{i}") == F.col(f"b.d{i}") for i, r in values}
+            bits = reduce(lambda x, y: x.bitwiseOR(y), (F.when(hit[i], F.lit(1 << i)).otherwise(F.lit(0)) for i in hit), F.lit(0)).cast("long")
+            score = reduce(lambda x, y: x + y, (F.when(hit[i], F.coalesce(F.col(f"a.s{i}"), F.lit(0.0))).otherwise(F.lit(0.0)) for i in hit), F.lit(0.0))
+            found.append(pairs.select("a.key", f"b.{ID}", bits.alias("bit"), score.alias("score")))
+        if not found:
+            return None
+        pairs = reduce(DataFrame.unionAll, found)
+        need = reduce(lambda x, y: x.bitwiseOR(y), (F.when(F.col(f"alive{i}"), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in values if r.es_clause_type in ("must", "filter")), F.lit(0)).cast("long")
+        bar = F.lit(sum(1 << i for i, r in values if r.es_clause_type == "must_not")).cast("long")
+        wanted = probe.where("bound > 0").select("key", need.alias("need_now"))
+        pairs = pairs.join(wanted, "key").where((F.col("bit").bitwiseAND(F.col("need_now")) == F.col("need_now")) & (F.col("bit").bitwiseAND(bar) == 0)).drop("need_now")
+        texts = [(i, r) for i, r in self.rules if self.index.kind(r.target_column) == "text"]
+        if texts:
+            pairs = staged(pairs, "bound-pairs")
+        parts = [pairs]
+        for i, r in texts:
+            v = probe.where(F.col("bound") > 0).where(f"alive{i}").select("key", *self.ties, F.col(f"`{r.source_column}`").alias("v"))
+            scored = F.col("score") if r.es_clause_type in ("must", "should") else F.lit(0.0)
+            parts.append(self._text(v, r, pairs).select("key", ID, F.lit(1 << i).cast("long").alias("bit"), scored.alias("score")))
+        return reduce(DataFrame.unionAll, parts)
 
     # --- the whole phase ------------------------------------------------------------
 
-    def candidates(self, source: DataFrame, id_column: str) -> DataFrame:
+    def candidates(self, source: DataFrame) -> DataFrame:
         """``(key, _id, es_score)``: at most ``candidate_limit`` documents of each key, where
         ``key`` is :func:`source_key` of the source row."""
         types = dict(source.dtypes)
-        columns = key_columns(self.phase, self.dynamic, id_column)
-        probe = source.select(source_key(columns).alias("key"), *columns).dropDuplicates(["key"])
+        columns = key_columns(self.phase, self.dynamic)
+        probe = source.select(source_key(columns).alias("key"), *(F.col(f"`{c}`") for c in columns)).dropDuplicates(["key"])
         for name, field in self.dynamic:
             probe = probe.where(F.col(f"`{name}`").isNotNull())
         alive = {i: active(F.col(f"`{r.source_column}`"), types[r.source_column]) for i, r in self.rules}
-        mask = lambda *kinds: reduce(lambda x, y: x.bitwiseOR(y), [F.when(alive[i], F.lit(1 << i)).otherwise(F.lit(0)) for i, r in self.rules if r.es_clause_type in kinds], F.lit(0)).cast("long")
-        keys = probe.select("key", mask("must", "filter").alias("need"), mask("should").alias("may"), mask("must_not").alias("bar"), *(F.col(f"`{n}`").cast("string").alias(f"dyn{j}") for j, (n, _) in enumerate(self.dynamic)))
-
-        parts = []
-        for i, r in self.rules:
-            v = probe.where(alive[i]).select("key", F.col(f"`{r.source_column}`").alias("v"))
-            hit = self._text(v, r) if self.index.kind(r.target_column) == "text" else self._value(v, r)
-            scored = r.es_clause_type in ("must", "should")
-            parts.append(hit.select("key", ID, F.lit(1 << i).cast("long").alias("bit"), (F.col("score") if scored else F.lit(0.0)).alias("score")))
-        bounds = [F.col(f"dyn{j}") == F.col(f"doc{j}") for j in range(len(self.dynamic))]
-        pool = self.docs.select(ID, *(F.coalesce(self.index.value(f).cast("string"), F.lit(None)).alias(f"doc{j}") for j, (_, f) in enumerate(self.dynamic)))
-        schema = "key struct<id:string,h:bigint>, _id string, bits bigint, score double"
+        required = {i: r for i, r in self.rules if r.es_clause_type in ("must", "filter") and r.query_type != "prefix" and self.index.kind(r.target_column) != "text"}
+        mask = lambda rules: reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.col(f"alive{i}"), F.lit(1 << i)).otherwise(F.lit(0)) for i in rules], F.lit(0)).cast("long")
+        of = lambda *kinds: [i for i, r in self.rules if r.es_clause_type in kinds]
+        probe = probe.select("*", *(c.alias(f"alive{i}") for i, c in alive.items()), *(_typed(self.index, f, F.col(f"`{n}`")).alias(t) for t, (n, f) in zip(self.ties, self.equal)))
+        probe = staged(probe.withColumn("bound", mask(required)), "queries")
+        within = [f"`{n}`" for n, _ in self.within]
+        keys = probe.select("key", mask(of("must", "filter")).alias("need"), mask(of("should")).alias("may"), mask(of("must_not")).alias("bar"), *self.ties, *(F.col(c).cast("string").alias(f"in{j}") for j, c in enumerate(within)))
+
+        parts, free = [], probe.where("bound = 0")
+        if required:
+            bound = self._bound(probe, required)
+            parts += [bound] if bound is not None else []
+        if not required or not free.isEmpty():
+            for i, r in self.rules:
+                if i in required:
+                    continue
+                v = free.where(f"alive{i}").select("key", *self.ties, F.col(f"`{r.source_column}`").alias("v"))
+                hit = self._text(v, r) if self.index.kind(r.target_column) == "text" else self._value(v, r)
+                scored = F.col("score") if r.es_clause_type in ("must", "should") else F.lit(0.0)
+                parts.append(hit.select("key", ID, F.lit(1 << i).cast("long").alias("bit"), scored.alias("score")))
+        schema = f"key {probe.schema['key'].dataType.simpleString()}, {ID} string, bits bigint, score double"
         if parts:
             hits = reduce(DataFrame.unionAll, parts).groupBy("key", ID).agg(F.bit_or("bit").alias("bits"), F.sum("score").alias("score"))
         else:
             hits = source.sparkSession.createDataFrame([], schema)
         found = hits.join(keys, "key")
-        if self.dynamic:
-            found = found.join(pool, ID).where(reduce(lambda x, y: x & y, bounds))
+        pool = self.docs.select(ID, *self._tie_values(), *(self.index.analyze(f, F.col(f.partition(".")[0])).alias(f"all{j}") for j, (_, f) in enumerate(self.within)))
+        if within:
+            held = reduce(lambda x, y: x & y, [F.array_contains(F.col(f"all{j}"), F.col(f"in{j}")) for j in range(len(within))])
+            found = found.join(pool.drop(*self.ties), ID).where(held)
         allowed = (F.col("bits").bitwiseAND(F.col("bar")) == 0) & (F.col("bits").bitwiseAND(F.col("need")) == F.col("need"))
-        by_should = (F.col("need") == 0) & (F.lit(not self.filtered)) & (F.col("may") != 0)
-        good = found.where(allowed & (~by_should | (F.col("bits").bitwiseAND(F.col("may")) != 0)) & ((F.col("need") != 0) | (F.col("bits").bitwiseAND(F.col("may")) != 0)))
-        good = good.select("key", ID, "score")
+        good = found.where(allowed & ((F.col("need") != 0) | (F.col("bits").bitwiseAND(F.col("may")) != 0))).select("key", ID, "score")
 
-        # Rows without a clause that must hit: documents that pass the filters fill up the list.
+        # Queries without a clause that must hit: documents that pass the filters fill up the list.
         open_keys = keys.where((F.col("need") == 0) & (F.lit(self.filtered) | (F.col("may") == 0)))
         if not self.filtered:
             open_keys = open_keys.where(F.lit(self.on_empty == "match_all"))
-        k = self.phase.candidate_limit
-        # Mostly every row has a clause that must hit, and that is known from the source alone.
+        # Mostly every query has a clause that must hit, and that is known from the source alone.
         if (self.filtered or self.on_empty == "match_all") and not open_keys.isEmpty():
-            seen = found.select("key", ID, "bits")
-            most = seen.join(open_keys.select("key"), "key", "left_semi").groupBy("key").count().agg(F.max("count")).first()[0] or 0  # one number
-            group = [f"doc{j}" for j in range(len(self.dynamic))]
-            ranked = pool.withColumn("one", F.lit(1)).withColumn("rank", F.row_number().over(Window.partitionBy("one", *group).orderBy(ID))).where(F.col("rank") <= k + most)
-            match = reduce(lambda x, y: x & y, bounds, F.col("one") == F.col("one_key"))
-            fill = open_keys.withColumn("one_key", F.lit(1)).join(ranked, match).select("key", ID, F.lit(0.0 if self.filtered or any(r.es_clause_type == "must_not" for _, r in self.rules) else 1.0).alias("score"))
-            good = good.unionByName(fill.join(seen.select("key", ID), ["key", ID], "left_anti"))
+            good = good.unionByName(self._fill(open_keys, found, good, pool))
         order = Window.partitionBy("key").orderBy(F.round("score", 6).desc(), F.col(ID))
-        top = good.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
+        top = good.withColumn("k", F.row_number().over(order)).where(F.col("k") <= self.phase.candidate_limit)
         return top.select("key", ID, F.col("score").alias("es_score"))
 
+    def _fill(self, open_keys: DataFrame, found: DataFrame, good: DataFrame, pool: DataFrame) -> DataFrame:
+        """Documents in the order of their ids for the queries that have fewer hits than wanted."""
+        k, one = self.phase.candidate_limit, F.lit(1).alias("one")
+        has = good.groupBy("key").count().where(F.col("count") >= k)
+        needy = staged(open_keys.join(has, "key", "left_anti"), "open-queries")
+        seen = found.join(needy.select("key"), "key", "left_semi").groupBy("key").agg(F.collect_set(ID).alias("seen"))
+        seen = staged(seen, "seen-documents")
+        most = seen.agg(F.max(F.size("seen"))).first()[0] or 0
+        by = ["one", *self.ties, *(f"in{j}" for j in range(len(self.within)))]
+        for j in range(len(self.within)):
+            pool = pool.withColumn(f"in{j}", F.explode(F.array_distinct(f"all{j}")))
+        if len(by) == 1:
+            first = pool.select(ID).orderBy(ID).limit(k + most).agg(F.sort_array(F.collect_list(ID)).alias("first")).select(one, "first")
+            joined = needy.crossJoin(F.broadcast(first))  # one row of at most k + most ids
+        else:
+            rank = F.row_number().over(Window.partitionBy(*by[1:]).orderBy(ID))
+            first = pool.select(ID, *by[1:]).withColumn("rank", rank).where(F.col("rank") <= k + most).groupBy(*by[1:]).agg(F.sort_array(F.collect_list(ID)).alias("first"))
+            joined = needy.join(first, by[1:])
+        score = 0.0 if self.filtered or any(r.es_clause_type == "must_not" for _, r in self.rules) else 1.0
+        left = F.slice(F.array_except("first", F.coalesce("seen", F.array().cast("array<string>"))), 1, k)
+        return joined.join(seen, "key", "left").select("key", F.explode(left).alias(ID), F.lit(score).alias("score"))
+
+
+def _started(probes: DataFrame, terms: DataFrame) -> DataFrame:
+    """The probes with each term that starts with their ``p``: terms are cut to the lengths that probes have."""
+    lengths = sorted(r[0] for r in probes.select(F.length("p").alias("n")).where("n is not null").distinct().collect())  # lengths, not rows
+    if not lengths:
+        return probes.withColumn("term", F.lit("")).where("false").drop("p")
+    cuts = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))
+    return probes.join(terms.select("term", F.explode(cuts).alias("p")), "p").drop("p")
+
 
 def _typed(index: TextIndex, field: str, c: Column) -> Column:
     """A source value as the field's type; null if it can't be read so."""
@@ -218,11 +314,13 @@ def _typed(index: TextIndex, field: str, c: Column) -> Column:
     return c.try_cast(_CASTS[kind]) if kind in _CASTS else c.cast("string")
 
 
-def key_columns(phase: Phase, dynamic: Sequence[tuple[str, str]], id_column: str) -> list[str]:
-    return list(dict.fromkeys([id_column, *(r.source_column for r in phase.rules), *(s for s, _ in dynamic)]))
+def key_columns(phase: Phase, dynamic: Sequence[tuple[str, str]]) -> list[str]:
+    """What a search reads of a source row."""
+    return list(dict.fromkeys([*(r.source_column for r in phase.rules), *(s for s, _ in dynamic)]))
 
 
 def source_key(columns: Sequence[str]) -> Column:
-    """What a source row is searched by: its id and a hash of what the search reads of it."""
-    first = F.col(f"`{columns[0]}`")
-    return F.struct(first.cast("string").alias("id"), F.xxhash64(*(F.col(f"`{c}`") for c in columns)).alias("h"))
+    """A 128-bit hash of what the search reads of a source row: rows that read alike are one query."""
+    values = [F.col(f"`{c}`") for c in columns]
+    nulls = reduce(lambda x, y: x * 2 + y, [v.isNull().cast("long") for v in values], F.lit(0).cast("long"))
+    return F.struct(F.xxhash64(nulls, *values).alias("a"), F.xxhash64(F.lit(1), nulls, *values).alias("b"))
