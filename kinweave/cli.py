@@ -6,6 +6,7 @@ import argparse
 import logging
 import os
 import sys
+import time
 
 from kinweave.plans.run import Telemetry, clustered, link_tables
 from kinweave.plans.session import create_session
@@ -37,15 +38,22 @@ def run_indexing(args, env: dict) -> None:
     spec = IndexSpec.of(_spec_of(args, env, "indexing_path"))
     spark = create_session("kinweave indexing", (env.get("spark") or {}).get("spark_configs"))
     try:
-        source = TableSource(spark, _storage(env, "source"))
-        TextIndex.over(source.read(spec.source_table), spec).save(_index_path(env, spec.name), spec.id_from_source)
+        source, began = TableSource(spark, _storage(env, "source")), time.time()
+        telemetry = Telemetry((env.get("execution") or {}).get("audit_log_path"), spark)
+        about = {"source_table": spec.source_table, "index_name": spec.name}
+        telemetry.record("indexing", **about, column_count=len(spec.index_columns), event="indexing_start")
+        index = TextIndex.over(source.read(spec.source_table), spec)
+        telemetry.record("indexing", **about, duration_s=round(time.time() - began, 3), event="index_ensured")
+        index.save(_index_path(env, spec.name), spec.id_from_source)
+        telemetry.record("indexing", **about, total_duration_s=round(time.time() - began, 3), event="indexing_complete")
     finally:
         spark.stop()
 
 
 def run_linkage(args, env: dict) -> None:
     spec = build(LinkageSpec, _spec_of(args, env, "linkage_path"), "linkage specification")
-    run = Execution.of(env.get("execution") or {})
+    search = {k: v for k, v in (env.get("elasticsearch") or {}).items() if k in ("search_strategy", "msearch_batch_size")}
+    run = Execution.of({**search, **(env.get("execution") or {})})
     spark = create_session("kinweave linkage", (env.get("spark") or {}).get("spark_configs"))
     try:
         index = TextIndex.load(spark, _index_path(env, spec.target_es_index))
@@ -61,7 +69,7 @@ def run_deduplication(args, env: dict) -> None:
         source = _storage(env, "source")
         pairs = spark.read.format(source.format).option("mergeSchema", "true").options(**source.options).load(source.path)
         audit = (env.get("execution") or {}).get("audit_log_path")
-        clustered(pairs, spec, _storage(env, "output"), Telemetry(audit))
+        clustered(pairs, spec, _storage(env, "output"), Telemetry(audit, spark))
     finally:
         spark.stop()
 

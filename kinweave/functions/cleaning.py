@@ -91,6 +91,8 @@ def clean(df: DataFrame, specs: Sequence[ColumnClean]) -> DataFrame:
     for spec in specs:
         if spec.name not in expressions:
             raise ValueError(f"no column {spec.name!r}")
+        if spec.cleaned_name != spec.name and spec.cleaned_name in expressions:
+            raise ValueError(f"{spec.name!r} can't be renamed to {spec.cleaned_name!r}, a column that is there")
         value = cleaned(expressions.pop(spec.name), spec)
         expressions[spec.cleaned_name] = value
         names[names.index(spec.name)] = spec.cleaned_name

@@ -70,16 +70,19 @@ def score_pairs(
     raw, norm, final = total_score(rules, [F.col(n) for n in names], [nulls[n] for n in names])
     out = out.withColumn("match_score", final)
     if debug:
-        rows = [
-            F.struct(
-                F.lit(r.source_column).alias("source_column"), F.lit(r.target_column).alias("target_column"), source(r.source_column).cast("string").alias("source_value"),
-                target(r.target_column).cast("string").alias("target_value"), F.lit(r.similarity).alias("similarity"), F.round(F.col(n), 6).alias("score"),
-                F.lit(float(r.weight)).alias("weight"), F.lit(float(r.penalty)).alias("penalty"), nulls[n].alias("is_null"),
-                F.when(nulls[n], F.lit(-float(r.penalty))).otherwise(F.col(n) * F.lit(float(r.weight))).alias("contribution"),
-            )
-            for n, r in zip(names, rules)
-        ]
-        out = out.withColumn("score_debug_json", F.to_json(F.struct(raw.alias("raw_score"), F.lit(float(sum(r.weight for r in rules))).alias("total_weight"), norm.alias("normalized_score"), F.array(*rows).alias("rules"))))
+        rows, running, punished = [], F.lit(0.0), F.lit(False)
+        for r, n in zip(rules, names):
+            taken = F.when(nulls[n], F.lit(float(r.penalty))).otherwise(F.lit(0.0))
+            gained = F.when(nulls[n], F.lit(0.0)).otherwise(F.col(n) * F.lit(float(r.weight)))
+            running, punished = running + gained - taken, punished | (taken > 0)
+            rows.append(F.struct(
+                F.lit(r.source_column).alias("source_column"), F.lit(r.target_column).alias("target_column"), F.lit(r.similarity).alias("similarity"),
+                F.lit(float(r.weight)).alias("weight"), F.lit(float(r.penalty)).alias("penalty"), source(r.source_column).cast("string").alias("source_value"),
+                target(r.target_column).cast("string").alias("candidate_value"), F.round(F.col(n), 6).alias("current_similarity"), F.round(gained, 6).alias("weighted_contribution"),
+                F.round(taken, 6).alias("penalty_applied"), F.round(running, 6).alias("running_raw_score"), F.lit(None).cast("string").alias("error"), nulls[n].alias("is_null"),
+            ))
+        total = F.struct(F.round(raw, 6).alias("raw_score"), F.lit(round(float(sum(r.weight for r in rules)), 6)).alias("total_weight"), F.round(norm, 6).alias("normalized_score"), punished.alias("any_penalty_applied"), F.array(*rows).alias("rules"))
+        out = out.withColumn("score_debug_json", F.to_json(total, {"ignoreNullFields": "false"}))
     return out.withColumns({n: F.round(F.col(n), 6) for n in names}) if names else out
 
 

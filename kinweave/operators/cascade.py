@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinweave.functions.scoring import score_names, score_pairs, strong
@@ -29,9 +30,11 @@ def candidate_pairs(source: DataFrame, index: TextIndex, spec: LinkageSpec, phas
     return out.select(*(f"source_{c}" for c in source.columns), *(f"candidate_{f}" for f in fields), F.coalesce("es_score", F.lit(0.0)).alias("es_score"))
 
 
-def link_phase(source: DataFrame, index: TextIndex, spec: LinkageSpec, phase: Phase, debug: bool = False, on_empty: str = "match_all", all_pairs: bool = False) -> DataFrame:
-    """Scored pairs of one phase that reach its threshold (or all of them)."""
+def link_phase(source: DataFrame, index: TextIndex, spec: LinkageSpec, phase: Phase, debug: bool = False, on_empty: str = "match_all", all_pairs: bool = False, seen: Observation | None = None) -> DataFrame:
+    """Scored pairs of one phase that reach its threshold (or all of them). ``seen`` gets the number of candidates."""
     pairs = candidate_pairs(source, index, spec, phase, on_empty)
+    if seen is not None:
+        pairs = pairs.observe(seen, F.count(F.lit(1)).alias("candidates"))
     at = lambda prefix: lambda c: F.col(f"`{prefix}_{c.partition('.')[0] if prefix == 'candidate' else c}`")
     threshold = None if all_pairs else phase.strong_match_score_threshold
     scored = score_pairs(pairs, phase.rules, at("source"), at("candidate"), threshold, debug)
@@ -63,6 +66,11 @@ class PhaseResult:
     phase: str
     status: str  # completed, skipped, exhausted
     linked: DataFrame | None = None
+    #: Source rows that came in and that are left, candidate pairs, seconds of search and scoring.
+    records_in: int | None = None
+    remaining: int | None = None
+    candidates: int | None = None
+    seconds: float | None = None
 
 
 def cascade(source: DataFrame, index: TextIndex, spec: LinkageSpec, debug: bool = False, on_empty: str = "match_all", observe: Callable | None = None) -> list[PhaseResult]:
@@ -76,9 +84,11 @@ def cascade(source: DataFrame, index: TextIndex, spec: LinkageSpec, debug: bool
         elif left.isEmpty():
             results.append(PhaseResult(phase.phase_name, "exhausted"))
         else:
-            linked = staged(link_phase(left, index, spec, phase, debug, on_empty), "linked")
-            results.append(PhaseResult(phase.phase_name, "completed", linked))
+            seen, began, before = Observation(), time.time(), left.count()
+            linked = staged(link_phase(left, index, spec, phase, debug, on_empty, seen=seen), "linked")
+            took = round(time.time() - began, 3)
             left = staged(remaining(left, linked, spec.id_source_table), "remaining")
+            results.append(PhaseResult(phase.phase_name, "completed", linked, before, left.count(), int(seen.get["candidates"]), took))
             release(old)
             old = left
         if observe:

@@ -11,13 +11,13 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions.similarity import similarity
 from kinweave.operators.cascade import cascade
 from kinweave.plans.spec import Execution, LinkageSpec, SpecError, Storage
-from kinweave.plans.staging import staged
+from kinweave.plans.staging import _path, staged
 from kinweave.sources.index import TextIndex
 from kinweave.sources.tables import PhaseSink, TableSource
 
@@ -44,20 +44,81 @@ def unit_ids(run: Execution, values: list[str] | None = None) -> dict[str, str |
     return out
 
 
+class Files:
+    """Small text files below a folder of any file system: Hadoop's if a session is given, else local ones."""
+
+    def __init__(self, root: str, spark: SparkSession | None = None):
+        self.root, self.spark = str(root).rstrip("/"), spark
+
+    def _at(self, name: str):
+        return _path(self.spark, f"{self.root}/{name}")
+
+    def read(self, name: str) -> str | None:
+        if self.spark is None:
+            path = Path(self.root) / name
+            return path.read_text(encoding="utf-8") if path.exists() else None
+        path, fs = self._at(name)
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        try:
+            return bytes(stream.readAllBytes()).decode("utf-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Replace a file; a reader finds the old content or the new one."""
+        part = f"{name}.part"
+        if self.spark is None:
+            path = Path(self.root) / name
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.with_name(f"{path.name}.part").write_text(text, encoding="utf-8")
+            os.replace(path.with_name(f"{path.name}.part"), path)
+            return
+        (new, fs), (path, _) = self._at(part), self._at(name)
+        out = fs.create(new, True)
+        out.write(bytearray(text.encode("utf-8")))
+        out.close()
+        old = self.read(name)
+        if old is not None:
+            fs.delete(path, False)
+        fs.rename(new, path)
+
+    def append(self, name: str, line: str) -> None:
+        """Add a line. Object stores can't append, so there the file is written anew."""
+        if self.spark is None:
+            path = Path(self.root) / name
+            path.parent.mkdir(parents=True, exist_ok=True)
+            with open(path, "a", encoding="utf-8") as f:
+                f.write(line + "\n")
+        else:
+            self.write(name, (self.read(name) or "") + line + "\n")
+
+    def aside(self, name: str, new: str) -> None:
+        self.write(new, self.read(name) or "")
+        if self.spark is None:
+            (Path(self.root) / name).unlink()
+        else:
+            path, fs = self._at(name)
+            fs.delete(path, False)
+
+
 class Checkpoint:
     """The state of each unit, kept as JSON below a path, or in memory without one."""
 
-    def __init__(self, path: str | None, job_id: str):
-        self.file = Path(path) / job_id / "state.json" if path else None
+    def __init__(self, path: str | None, job_id: str, spark: SparkSession | None = None):
+        self.files = Files(f"{str(path).rstrip('/')}/{job_id}", spark) if path else None
+        self.file = Path(path) / job_id / "state.json" if path and spark is None else None
         self.state: dict[str, str] = {}
 
     def open(self, units) -> None:
         """Resume: known units keep their state, interrupted ones are pending again."""
-        if self.file and self.file.exists():
+        text = self.files.read("state.json") if self.files else None
+        if text is not None:
             try:
-                self.state = json.loads(self.file.read_text())["units"]
-            except (ValueError, KeyError):
-                self.file.replace(self.file.with_suffix(f".corrupt-{int(time.time())}"))
+                self.state = json.loads(text)["units"]
+            except (ValueError, KeyError, TypeError):
+                self.files.aside("state.json", f"state.corrupt-{int(time.time())}")
         if self.state:
             new = [u for u in units if u not in self.state]
             if new:
@@ -68,19 +129,20 @@ class Checkpoint:
         self._save()
 
     def _save(self) -> None:
-        if self.file:
-            self.file.parent.mkdir(parents=True, exist_ok=True)
-            part = self.file.with_suffix(".tmp")
-            part.write_text(json.dumps({"schema_version": "1", "units": self.state}, indent=1))
-            os.replace(part, self.file)
+        if self.files:
+            self.files.write("state.json", json.dumps({"schema_version": "1", "units": self.state}, indent=1))
 
     def mark(self, unit: str, state: str) -> None:
         self.state[unit] = state
         self._save()
 
-    def pending(self) -> Iterator[str]:
-        """Units to work on, each marked when it is taken."""
+    def pending(self, units=None) -> Iterator[str]:
+        """Units to work on, each marked when it is taken. With ``units``, others than those
+        stay pending: what an earlier run left of units that are no longer asked for."""
         for unit in [u for u, s in self.state.items() if s == PENDING]:
+            if units is not None and unit not in units:
+                log.warning("unit %s is pending, but not among the units of this run", unit)
+                continue
             self.mark(unit, PROCESSING)
             yield unit
 
@@ -93,16 +155,19 @@ class Telemetry:
     """Events to the log, and as JSON lines to a folder if there is one."""
 
     folder: str | None = None
+    spark: SparkSession | None = None
     events: list[dict] = field(default_factory=list)
 
     def record(self, stream: str, **values) -> None:
-        event = {"schema_version": "1", "at": datetime.now(timezone.utc).isoformat(), **values}
+        event = {**values, "ts": _now(), "schema_version": "1"}
         self.events.append({"stream": stream} | event)
         log.info("%s %s", stream, json.dumps(values, default=str))
         if self.folder:
-            Path(self.folder).mkdir(parents=True, exist_ok=True)
-            with open(Path(self.folder) / f"{stream}.jsonl", "a", encoding="utf-8") as f:
-                f.write(json.dumps(event, default=str) + "\n")
+            Files(self.folder, self.spark).append(f"{stream}.jsonl", json.dumps(event, default=str, ensure_ascii=False))
+
+
+def _now() -> str:
+    return datetime.now(timezone.utc).isoformat()
 
 
 # --- runs -----------------------------------------------------------------------------------
@@ -126,7 +191,8 @@ def preflight(source: DataFrame, index: TextIndex, spec: LinkageSpec, run: Execu
 def link_frame(source: DataFrame, index: TextIndex, spec: LinkageSpec, output: Storage, run: Execution, telemetry: Telemetry | None = None, debug: bool = False) -> PhaseSink:
     """Link a source frame unit by unit. The first unit that fails ends the run."""
     preflight(source, index, spec, run)
-    telemetry = telemetry or Telemetry(run.audit_log_path and os.path.join(run.audit_log_path, spec.workflow_name, run.job_id))
+    spark = source.sparkSession
+    telemetry = telemetry or Telemetry(run.audit_log_path and os.path.join(run.audit_log_path, spec.workflow_name, run.job_id), spark)
     if run.sample_fraction and run.sample_fraction < 1:
         source = source.sample(False, run.sample_fraction, run.sample_seed)
     if run.partition_column and not run.filter_partitions:
@@ -135,27 +201,32 @@ def link_frame(source: DataFrame, index: TextIndex, spec: LinkageSpec, output: S
     else:
         values = list(run.filter_partitions)
     units = unit_ids(run, values)
-    state = Checkpoint(run.audit_log_path and os.path.join(run.audit_log_path, spec.workflow_name), run.job_id)
+    state = Checkpoint(run.audit_log_path and os.path.join(run.audit_log_path, spec.workflow_name), run.job_id, spark)
     state.open(units)
-    sink, began = PhaseSink(source.sparkSession, output), time.time()
-    for unit in state.pending():
-        value, started = units.get(unit), time.time()
+    sink, began, job_at = PhaseSink(spark, output), time.time(), _now()
+    job = {"job_id": run.job_id, "project_name": spec.workflow_name}
+    for unit in state.pending(units):
+        value, started, unit_at = units[unit], time.time(), _now()
         part = source if value is None else source.where(F.col(run.partition_column) == F.lit(value))
         try:
-            pairs, left_over = 0, None
-            for result in cascade(part, index, spec, debug):
-                saved = 0
+            links, left = 0, None
+            for k, result in enumerate(cascade(part, index, spec, debug), 1):
+                about = {**job, "unit_id": unit, "phase_index": k, "phase_name": result.phase, "status": result.status}
                 if result.linked is not None:
+                    persisting = time.time()
                     saved = sink.write(result.linked.drop("phase_match"), spec.workflow_name, result.phase, run.partition_column, value)
-                pairs += saved
-                telemetry.record("phases", unit=unit, phase=result.phase, status=result.status, records_out=saved)
+                    persisted = round(time.time() - persisting, 3)
+                    links, left = links + saved, result.remaining
+                    about |= {"records_in": result.records_in, "candidates_found": result.candidates, "records_out": saved}
+                    about |= {"duration_s": round(result.seconds + persisted, 3), "search_duration_s": result.seconds, "persist_duration_s": persisted}
+                telemetry.record("phases", **about)
             state.mark(unit, COMPLETED)
-            telemetry.record("units", unit=unit, status=COMPLETED, pairs=pairs, seconds=round(time.time() - started, 3))
+            telemetry.record("units", **job, unit_id=unit, started_at=unit_at, completed_at=_now(), status="completed", duration_s=round(time.time() - started, 3), total_links=links, remaining=left)
         except Exception as e:
             state.mark(unit, FAILED)
-            telemetry.record("units", unit=unit, status=FAILED, error=str(e)[:2000], seconds=round(time.time() - started, 3))
+            telemetry.record("units", **job, unit_id=unit, started_at=unit_at, completed_at=_now(), status="failed", duration_s=round(time.time() - started, 3), error=str(e)[:2000])
             raise
-    telemetry.record("job", job_id=run.job_id, units=len(units), seconds=round(time.time() - began, 3))
+    telemetry.record("job", **job, total_units=len(units), started_at=job_at, completed_at=_now(), duration_s=round(time.time() - began, 3))
     return sink
 
 

@@ -7,11 +7,13 @@ unknown values by name; YAML files go through :func:`load_yaml`.
 from __future__ import annotations
 
 import json
+import logging
 from dataclasses import asdict, dataclass, field, fields
 from datetime import datetime
 from pathlib import Path
 from typing import Any
 
+log = logging.getLogger("kinweave")
 CLAUSES = ("must", "should", "filter", "must_not")
 QUERIES = ("match", "term", "match_phrase", "prefix")
 FIELD_TYPES = ("text", "keyword", "date", "integer", "long", "float", "double", "boolean")
@@ -40,6 +42,9 @@ def build(kind: type, values: dict, where: str):
     """``kind(**values)`` for the keys it has; a missing one is named."""
     _require(isinstance(values, dict), f"{where}: a mapping is expected")
     known = {f.name: f for f in fields(kind)}
+    unknown = sorted(str(k) for k in values if k not in known)
+    if unknown:
+        log.warning("%s: %s have no meaning here and are left out", where, unknown)
     try:
         return kind(**{k: v for k, v in values.items() if k in known})
     except TypeError as e:
@@ -241,8 +246,13 @@ class Execution(Plan):
     audit_log_path: str | None = None
     partition_column: str | None = None
     filter_partitions: tuple[str, ...] = ()
+    search_strategy: str = "multisearch"
+    msearch_batch_size: int = 100
 
     def __post_init__(self):
+        # All source rows are searched as one join, whichever is named; the batch size has no meaning there.
+        _require(str(self.search_strategy).lower() in ("single", "multisearch"), f"unknown search strategy {self.search_strategy!r}")
+        _require(int(self.msearch_batch_size) > 0, "msearch_batch_size must be positive")
         if not self.job_id:
             object.__setattr__(self, "job_id", datetime.now().strftime("job_%Y%m%d_%H%M%S"))
         _require(self.sample_fraction is None or 0 < self.sample_fraction <= 1, "sample_fraction must lie in (0, 1]")

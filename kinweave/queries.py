@@ -276,7 +276,7 @@ def score_negative(spark, sf_dir):
 @query(f"""WITH {PEOPLE_SQL} SELECT rec_id, 2 AS n_rules, round(0.5 * (p.uf = n.uf)::INT + CASE WHEN {_MOM_NULL} THEN 0 ELSE 0.5 * {_MOM} END, 6)::DOUBLE AS raw_score FROM people {_TRUE_PAIRS}""")
 def score_debug_json(spark, sf_dir):
     out = _scored(spark, sf_dir, [_rule("uf", weight=0.5), _rule("mother_name", weight=0.5)], debug=True)
-    parsed = F.from_json("score_debug_json", "raw_score double, rules array<struct<score: double>>")
+    parsed = F.from_json("score_debug_json", "raw_score double, rules array<struct<current_similarity: double>>")
     return out.select("rec_id", F.size(parsed["rules"]).alias("n_rules"), F.round(parsed["raw_score"], 6).alias("raw_score"))
 
 
@@ -406,6 +406,13 @@ def filter_column_dynamic(spark, sf_dir, of=dated):
     return _found(spark, sf_dir, phase, source=of(spark, sf_dir)).select("rec_id", "tgt_id")
 
 
+@query(f"WITH {PEOPLE_SQL}, hits AS (SELECT p.rec_id, n.tgt_id, 0 AS score FROM people p JOIN noisy n ON p.birth_date = n.birth_date AND p.uf = n.uf) " + _TOP.format(k=5))
+def filter_column_dynamic_date(spark, sf_dir):
+    """A dynamic column that the index holds as a date."""
+    phase = {"rules": [_rule("uf", "must", "term")], "candidate_limit": 5, "indexed_dataset_filter": [{"column": {"source_column": "birth_date", "target_column": "birth_date"}}]}
+    return _found(spark, sf_dir, phase, _index(spark, sf_dir, birth_date="date")).select("rec_id", "tgt_id")
+
+
 @query(f"WITH {PEOPLE_SQL}, hits AS (SELECT p.rec_id, n.tgt_id, 0 AS score FROM people p JOIN noisy n ON p.birth_date = n.birth_date AND n.uf = 'SP' AND n.tgt_id >= 1000020) " + _TOP.format(k=5))
 def filter_merge(spark, sf_dir, of=dated):
     phase = {"rules": [_rule("birth_date", "must", "term")], "candidate_limit": 5, "indexed_dataset_filter": [{"range": {"field": "tgt_id", "gte": 1000020, "lt": None}}]}
@@ -580,6 +587,24 @@ def workunit_partitioned_linkage(spark, sf_dir):
     return got.select(F.col("source_rec_id").alias("rec_id"), F.col("candidate_tgt_id").cast("long").alias("tgt_id"), "match_score", "phase_match")
 
 
+@query(f"WITH {_USABLE} SELECT linked.* FROM linked JOIN people USING (rec_id) WHERE people.uf = 'SP'")
+def workunit_resume(spark, sf_dir):
+    """A job whose state still has a unit that is no longer asked for: only the others run."""
+    import json
+    import uuid
+
+    from kinweave.plans.run import Files, link_frame
+    from kinweave.plans.spec import Execution
+    from kinweave.plans.staging import shared_root
+
+    out = f"{shared_root(spark)}/kinweave/out-{uuid.uuid4().hex}"
+    Files(f"{out}-audit/people_noisy/units", spark).write("state.json", json.dumps({"units": {"uf_BA": "PENDING", "uf_SP": "FAILED"}}))
+    spec = _spec(FIRST, SECOND, workflow_name="people_noisy")
+    run = Execution(job_id="units", partition_column="uf", filter_partitions=("SP",), audit_log_path=f"{out}-audit")
+    got = link_frame(people(spark, sf_dir), _index(spark, sf_dir, **_KEYWORDS), spec, Storage(out), run).read("people_noisy")
+    return got.select(F.col("source_rec_id").alias("rec_id"), F.col("candidate_tgt_id").cast("long").alias("tgt_id"), "match_score", "phase_match")
+
+
 @query(f"WITH {_USABLE}, c AS (SELECT *, least(min(CAST(rec_id AS VARCHAR)) OVER (PARTITION BY tgt_id), CAST(tgt_id AS VARCHAR)) AS m FROM a) SELECT rec_id, tgt_id, match_score, phase_match, m AS entity FROM c")
 def flagship(spark, sf_dir):
     """Linkage by exact keys, then entities."""

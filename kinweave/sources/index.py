@@ -8,6 +8,7 @@ date and boolean fields need no postings: they are joined on their values.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.analysis import analyzer
 from kinweave.plans.spec import IndexField, IndexSpec, SpecError
-from kinweave.plans.staging import _path, release, staged
+from kinweave.plans.staging import _path, staged
 
 ID = "_id"
 _CASTS = {"integer": "int", "long": "bigint", "float": "float", "double": "double", "boolean": "boolean"}
@@ -59,7 +60,7 @@ class TextIndex:
                 raise SpecError(f"id_field {spec.id_field!r} must be one of index_columns")
             docs = body.withColumn(ID, F.col(spec.id_field).cast("string"))
         else:
-            docs = body.withColumn(ID, F.uuid())
+            docs = staged(body.withColumn(ID, F.uuid()), "index-ids")  # ids must not change from one reading to the next
         return cls(docs, {c.name: c.mapping() for c in spec.index_columns}, spec.settings(), spec.id_field)
 
     @classmethod
@@ -76,33 +77,56 @@ class TextIndex:
 
     def save(self, path: str, upsert: bool) -> None:
         """Create the index if it is absent, then add the documents: an upsert replaces those
-        with the same id, else they are appended, so a repeated run has them twice."""
+        with the same id, else they are appended, so a repeated run has them twice. Of new rows
+        that share an id an upsert takes one by a hash of its values, the same one each time.
+
+        An upsert writes a new folder of documents and then points ``mapping.json`` to it, so readers
+        and later runs find either the old or the new ones. ``number_of_shards`` is kept as a
+        setting; files follow the size of the data."""
         spark = self.docs.sparkSession
+        root = path.rstrip("/")
         p, fs = self._mapping_file(spark, path)
-        if not fs.exists(p):
-            out = fs.create(p, True)
-            out.write(bytearray(json.dumps({"mappings": {"properties": self.mapping}, "settings": self.settings, "id_field": self.id_field}).encode()))
-            out.close()
-        where, folder = f"{path.rstrip('/')}/docs", _path(spark, f"{path.rstrip('/')}/docs")
-        shards = int(self.settings.get("number_of_shards", 1))
-        if not upsert or not folder[1].exists(folder[0]):
-            docs = self.docs.dropDuplicates([ID]) if upsert else self.docs
-            docs.repartition(shards, ID).write.mode("append").parquet(where)
+        if fs.exists(p):
+            now = self._described(spark, path)
+        else:
+            now = {"mappings": {"properties": self.mapping}, "settings": self.settings, "id_field": self.id_field, "docs": "docs"}
+            self._describe(p, fs, now)
+        old_path, old_fs = _path(spark, f"{root}/{now['docs']}")
+        there = old_fs.exists(old_path)
+        if not upsert:
+            self.docs.repartition(ID).write.mode("append").parquet(f"{root}/{now['docs']}")
             return
-        new = staged(self.docs.dropDuplicates([ID]), "index-new")
-        old = spark.read.parquet(where)
-        merged = staged(old.join(new.select(ID), ID, "left_anti").select(*old.columns).unionByName(new, allowMissingColumns=True), "index-merged")
-        merged.repartition(shards, ID).write.mode("overwrite").parquet(where)
-        release(new)
-        release(merged)
+        others = [c for c in self.docs.columns if c != ID]
+        new = self.docs.groupBy(ID).agg(F.max_by(F.struct(*others), F.xxhash64(*others)).alias("one")).select(ID, "one.*") if others else self.docs.select(ID).distinct()
+        if there:
+            new = staged(new, "index-new")
+            old = spark.read.parquet(f"{root}/{now['docs']}")
+            new = old.join(new.select(ID), ID, "left_anti").select(*old.columns).unionByName(new, allowMissingColumns=True)
+        folder = f"docs-{uuid.uuid4().hex}"
+        new.write.parquet(f"{root}/{folder}")
+        self._describe(p, fs, now | {"docs": folder})
+        if there:
+            old_fs.delete(old_path, True)
+
+    @staticmethod
+    def _describe(p, fs, content: dict) -> None:
+        out = fs.create(p, True)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+
+    @classmethod
+    def _described(cls, spark: SparkSession, path: str) -> dict:
+        p, _ = cls._mapping_file(spark, path)
+        raw = json.loads(spark.read.option("wholetext", True).text(str(p.toString())).first()[0])
+        return {"docs": "docs"} | raw
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TextIndex:
         p, fs = cls._mapping_file(spark, path)
         if not fs.exists(p):
             raise FileNotFoundError(f"no index at {path}")
-        raw = json.loads(spark.read.option("wholetext", True).text(str(p.toString())).first()[0])
-        return cls(spark.read.parquet(f"{path.rstrip('/')}/docs"), raw["mappings"]["properties"], raw.get("settings", {}), raw["id_field"])
+        raw = cls._described(spark, path)
+        return cls(spark.read.parquet(f"{path.rstrip('/')}/{raw['docs']}"), raw["mappings"]["properties"], raw.get("settings", {}), raw["id_field"])
 
     def missing(self, columns) -> list[str]:
         return [c for c in columns if c not in self.mapping]

@@ -75,7 +75,7 @@ class PhaseSink:
 
         seen = Observation()
         counted = df.withColumn("phase_match", F.lit(phase)).observe(seen, F.count(F.lit(1)).alias("n"))
-        counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(self.storage.format).partitionBy(*keys).save(self.location(project))
+        counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(self.storage.format).options(**self.storage.options).partitionBy(*keys).save(self.location(project))
         n = int(seen.get["n"])
         if n == 0:
             target = _join(self.location(project), f"phase_match={phase}", f"{keys[1]}={partition_value}" if len(keys) > 1 and partition_value is not None else "")
@@ -86,7 +86,7 @@ class PhaseSink:
 
     def read(self, project: str) -> DataFrame:
         """All phases; columns that only some have are null in the others."""
-        return self.spark.read.format(self.storage.format).option("mergeSchema", "true").load(self.location(project))
+        return self.spark.read.format(self.storage.format).option("mergeSchema", "true").options(**self.storage.options).load(self.location(project))
 
 
 def overwrite(df: DataFrame, storage: Storage) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kinweave.operators.cascade import cascade
 from kinweave.plans.spec import LinkageSpec, Storage
+from kinweave.plans.staging import _path, release
 from kinweave.sources.index import TextIndex
 from kinweave.sources.tables import union_phases
 
@@ -20,9 +21,14 @@ def link_stream(source: DataFrame, index: TextIndex, spec: LinkageSpec, output:
     def link(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            found = [r.linked for r in cascade(batch, index, spec) if r.linked is not None]
+            where, found = f"{output.path.rstrip('/')}/batch={number}", [r.linked for r in cascade(batch, index, spec) if r.linked is not None]
             if found:
-                union_phases(found).write.mode("overwrite").format(output.format).save(f"{output.path.rstrip('/')}/batch={number}")
+                union_phases(found).write.mode("overwrite").format(output.format).options(**output.options).save(where)
+            else:
+                path, fs = _path(batch.sparkSession, where)
+                fs.delete(path, True)
+            for linked in found:
+                release(linked)
         finally:
             batch.unpersist()
 
