@@ -1,15 +1,16 @@
 """Substring dedup by level-wise doubling of word windows.
 
-Level one works on short windows (half the wanted length, rounded up). Of the
-short windows inside each wanted window only the one with the smallest hash is
-kept: two equal wanted windows keep the same one, so nothing is lost while only
-about a quarter of the positions travel. Short windows that occur in one document
-alone end there. Level two extends the survivors to the wanted length, which is
-twice the short one less the shared word, hashes those to 96 bits and finds the
-smallest doc_id that starts each. Words covered by a window that also starts in a
-document with a smaller doc_id are removed.
-
-Both levels group rows by hash. A hash that occurs in many documents of one Arrow
+The lengths of the levels halve, rounded up, from the wanted window down to ``FIRST`` words:
+each level's window is twice the one before, less the shared word where it is odd. At
+every level but the last, each wanted window that is still a candidate is stood for by the
+smallest hash among its windows of the level's length: two equal wanted windows have the
+same one, so nothing is lost while only part of the positions travel. What occurs in one document
+alone ends there; the rest is extended to the next length, until no candidates survive or the
+wanted length is reached, where windows are hashed to 96 bits and the smallest doc_id
+that starts each is found. Words covered by a window that also starts in a document with a
+smaller doc_id are removed.
+
+All levels group rows by hash. A hash that occurs in many documents of one Arrow
 batch is settled there: all but one of its rows are marked as known and are dealt
 out under a key of their own, so a passage that a third of all documents share
 sends one row per batch to its group.
@@ -21,13 +22,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import map_texts, table
+from kinweave.plans.staging import dealt, release, staged
 
 WINDOW = 13
+#: Words up to which the levels' lengths are halved.
+FIRST = 7
 #: Words whose hashes a task keeps.
 MEMO = 300_000
 _STEP = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -70,9 +75,16 @@ def rolled(hashes: np.ndarray, width: int, step: int) -> np.ndarray:
     return out
 
 
-def least_short(first: np.ndarray, window: int) -> np.ndarray:
-    """For each window the smallest hash of its short windows."""
-    short = (window + 1) // 2
+def levels(window: int, first: int = FIRST) -> list[int]:
+    """The lengths from the shortest to the window itself."""
+    found = [window]
+    while found[0] > first:
+        found.insert(0, (found[0] + 1) // 2)
+    return found
+
+
+def least_short(first: np.ndarray, window: int, short: int) -> np.ndarray:
+    """For each window the smallest hash of its windows of a shorter length."""
     low = rolled(first, short, _STEP[0])
     n = len(first) - window + 1
     out = low[:n].copy()
@@ -112,20 +124,39 @@ def _settled(keys: list[np.ndarray], docs: np.ndarray) -> np.ndarray:
     return salt
 
 
-def short_windows(docs: DataFrame, window: int) -> DataFrame:
-    """``(h, salt, doc_id)``: the least short window of every window."""
+def _alive(flat: Flat, first: np.ndarray, window: int, short: int, sets: pa.Array) -> np.ndarray:
+    """Which windows have their least window of the level before in their text's set."""
+    least, row = least_short(first, window, short)[flat.at].view(np.int64), flat.row[flat.at]
+    keep = np.zeros(len(row), bool)
+    bounds = np.searchsorted(row, np.arange(len(flat.counts) + 1))
+    for i in np.flatnonzero(np.diff(bounds)):
+        a, b = bounds[i], bounds[i + 1]
+        keep[a:b] = np.isin(least[a:b], sets[int(i)].values.to_numpy())
+    return keep
+
+
+def short_windows(docs: DataFrame, window: int, length: int, before: int | None = None) -> DataFrame:
+    """``(h, salt, doc_id)``: the least window of a length of every window, or of those that
+    the column ``alive`` of the level ``before`` has. A null text, doc_id or set gives no row."""
 
     def make():
         memo = WordHashes()
 
         def batch_of(texts, batch):
             ids = batch.column("doc_id")
-            texts = [None if null else t for t, null in zip(texts, ids.is_null().to_pylist())]
-            flat = Flat(texts, window)
+            usable = ids.is_valid().to_pylist() if before is None else pc.and_(ids.is_valid(), batch.column("alive").is_valid()).to_pylist()
+            flat = Flat([t if u else None for t, u in zip(texts, usable)], window)
+            none = {"h": pa.array([], pa.int64()), "salt": pa.array([], pa.int32()), "doc_id": pa.array([], pa.int64())}
             if not len(flat.at):
-                return {"h": pa.array([], pa.int64()), "salt": pa.array([], pa.int32()), "doc_id": pa.array([], pa.int64())}
-            least = least_short(memo.of(flat.words)[0], window)[flat.at]
-            row = flat.row[flat.at]
+                return none
+            first = memo.of(flat.words)[0]
+            at, row = flat.at, flat.row[flat.at]
+            if before is not None:
+                keep = _alive(flat, first, window, before, batch.column("alive"))
+                at, row = at[keep], row[keep]
+                if not len(at):
+                    return none
+            least = least_short(first, window, length)[at]
             new = np.concatenate(([True], (least[1:] != least[:-1]) | (row[1:] != row[:-1])))
             least, doc = least[new], ids.fill_null(0).to_numpy(zero_copy_only=False)[row[new]]
             return {"h": pa.array(least.view(np.int64)), "salt": pa.array(_settled([least], doc)), "doc_id": pa.array(doc)}
@@ -135,26 +166,25 @@ def short_windows(docs: DataFrame, window: int) -> DataFrame:
     return map_texts(docs, make, "h long, salt int, doc_id long")
 
 
-def long_windows(docs: DataFrame, window: int) -> DataFrame:
-    """``(x, y, salt, doc_id)`` for every window whose least short window is among ``alive``."""
+def long_windows(docs: DataFrame, window: int, before: int | None) -> DataFrame:
+    """``(x, y, salt, doc_id)`` for every window of texts that are no copy, or for those that the column
+    ``alive`` of the level ``before`` has. A null text, doc_id or set gives no row."""
 
     def make():
         memo = WordHashes()
 
         def batch_of(texts, batch):
-            alive, copy = batch.column("alive"), batch.column("copy").to_pylist()
-            flat = Flat([t if live and not c else None for t, live, c in zip(texts, alive.is_valid().to_pylist(), copy)], window)
+            ids = batch.column("doc_id")
+            usable = pc.and_(ids.is_valid(), pc.invert(batch.column("copy").fill_null(False)))
+            if before is not None:
+                usable = pc.and_(usable, batch.column("alive").is_valid())
+            flat = Flat([t if u else None for t, u in zip(texts, usable.to_pylist())], window)
             none = {"x": pa.array([], pa.int64()), "y": pa.array([], pa.int32()), "salt": pa.array([], pa.int32()), "doc_id": pa.array([], pa.int64())}
             if not len(flat.at):
                 return none
             first, second = memo.of(flat.words)
-            least, row = least_short(first, window)[flat.at].view(np.int64), flat.row[flat.at]
-            keep = np.zeros(len(row), bool)
-            bounds = np.searchsorted(row, np.arange(len(texts) + 1))
-            for i in np.flatnonzero(np.diff(bounds)):
-                a, b = bounds[i], bounds[i + 1]
-                keep[a:b] = np.isin(least[a:b], alive[int(i)].values.to_numpy())
-            at, row = flat.at[keep], row[keep]
+            at = flat.at if before is None else flat.at[_alive(flat, first, window, before, batch.column("alive"))]
+            row = flat.row[at]
             x, y = (rolled(h, window, s)[at].view(np.int64) for h, s in ((first, _STEP[0]), (second, _STEP[1])))
             doc = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)[row]
             # equal windows of one document need one row
@@ -209,7 +239,7 @@ def without_repeats(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
     return map_texts(docs, make, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, first: int = FIRST) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256[, kept])``, one row for each input row.
 
     Null, blank and short texts have no window and keep their words. A row without
@@ -218,20 +248,29 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    copies = later_copies(docs)
-    by_hash = Window.partitionBy("h", "own")
-    alive = (
-        short_windows(docs, window).withColumn("own", F.greatest("salt", F.lit(0)))
-        .withColumns({"lo": F.min("doc_id").over(by_hash), "hi": F.max("doc_id").over(by_hash)})
-        .where("salt <> 0 or lo < hi").select("doc_id", "h")
-    )
-    alive = alive.groupBy("doc_id").agg(F.collect_set("h").alias("alive"))
+    copies = staged(later_copies(docs), "copies")
+    lengths = levels(window, first)
+    known, alive, by_hash = docs, None, Window.partitionBy("h", "own")
+    for before, length in zip([None, *lengths], lengths[:-1]):
+        found = (
+            short_windows(known, window, length, before).withColumn("own", F.greatest("salt", F.lit(0)))
+            .withColumns({"lo": F.min("doc_id").over(by_hash), "hi": F.max("doc_id").over(by_hash)})
+            .where("salt <> 0 or lo < hi").select("doc_id", "h")
+        )
+        last, alive = alive, staged(found.groupBy("doc_id").agg(F.collect_set("h").alias("alive")), "alive")
+        release(last)
+        known = docs.join(alive, "doc_id", "left")
+        if alive.isEmpty():
+            break
     by_window = Window.partitionBy("x", "y", "own")
+    before = lengths[-2] if len(lengths) > 1 else None
     gone = (
-        long_windows(docs.join(alive, "doc_id", "left").join(copies, "doc_id", "left"), window).withColumn("own", F.greatest("salt", F.lit(0)))
+        long_windows(known.join(copies, "doc_id", "left"), window, before).withColumn("own", F.greatest("salt", F.lit(0)))
         .withColumn("lo", F.min("doc_id").over(by_window))
         .where("salt > 0 or lo < doc_id").groupBy("doc_id").agg(F.collect_set("x").alias("gone"))
     )
+    gone = staged(gone, "gone")
+    release(alive)
     return without_repeats(docs.join(gone, "doc_id", "left").join(copies, "doc_id", "left"), window, with_text)
 
 
@@ -241,7 +280,7 @@ def later_copies(docs: DataFrame) -> DataFrame:
     than one text counts if a smaller one has each of them."""
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
     low = texts.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "lo")
-    found = texts.join(low, ["a", "b"], "left").groupBy("doc_id").agg(F.min(F.coalesce(F.col("lo") < F.col("doc_id"), F.lit(False))).alias("copy"))
+    found = texts.join(dealt(low), ["a", "b"], "left").groupBy("doc_id").agg(F.min(F.coalesce(F.col("lo") < F.col("doc_id"), F.lit(False))).alias("copy"))
     return found.where("copy")
 
 

@@ -350,3 +350,19 @@ def test_substring_dedup(spark, seed):
 def test_substring_edges(odd, empty):
     assert rows(substring.substring_dedup(odd)) == brute_substring(ODD)
     assert rows(substring.substring_dedup(empty)) == []
+
+
+@pytest.mark.parametrize("window, first, lengths", [(5, 2, [2, 3, 5]), (26, 3, [2, 4, 7, 13, 26]), (3, 7, [3]), (1, 7, [1])])
+def test_substring_levels(spark, window, first, lengths):
+    assert substring.levels(window, first) == lengths
+    rng = random.Random(window)
+    words = [f"v{i}" for i in range(60)]
+    passages = [rng.choices(words, k=k) for k in (6, 25, 26, 27, 60)]
+    docs = [(d, " ".join(rng.choices(words, k=rng.randint(0, 20)) + rng.choice(passages) + rng.choices(words, k=5))) for d in range(40)]
+    got = substring.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string"), window=window, first=first)
+    assert rows(got) == brute_substring(docs, window)
+
+
+def test_substring_without_repeats_ends_early(spark):
+    docs = [(d, " ".join(f"w{d}_{i}" for i in range(40))) for d in range(5)]
+    assert rows(substring.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string"), first=3)) == brute_substring(docs)
