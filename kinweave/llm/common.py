@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that are handled together, and bytes of text.
 BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+#: Rows of a broadcast filter, each of 64 bits: a bound on its size.
+BUCKETS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,3 +46,27 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, pa.RecordBatch],
             yield pa.RecordBatch.from_pydict(out)
 
     return df.mapInArrow(run, schema)
+
+
+def masks(ids: DataFrame, *columns: str) -> DataFrame:
+    """Which of ``64 * BUCKETS`` values the hashes of ``ids`` take: at most ``BUCKETS`` rows of 64 bits, so they can be broadcast."""
+    h = F.xxhash64(*columns)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
+    return F.broadcast(ids.select(F.pmod(h, F.lit(BUCKETS)).cast("int").alias("bucket"), bit.alias("bit")).groupBy("bucket").agg(F.bit_or("bit").alias("mask")))
+
+
+def marked(rows: DataFrame, held: DataFrame, *columns: str, name: str) -> DataFrame:
+    """``rows`` with a boolean ``name``: whether the ids of ``held`` may have the row's columns."""
+    bucket, mask = f"{name}_bucket", f"{name}_mask"
+    joined = rows.withColumn(bucket, F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")).join(held.withColumnsRenamed({"bucket": bucket, "mask": mask}), bucket, "left")
+    bit = F.call_function("shiftrightunsigned", F.col(mask), F.shiftrightunsigned(F.xxhash64(*columns), 58).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    return joined.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop(bucket, mask)
+
+
+def only(rows: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
+    """The rows that ``ids`` may hold, without a shuffle: what a join with them needs, and few more
+    as long as the ids are few against ``64 * BUCKETS``."""
+    name = "held_"
+    while any(c.lower().startswith(name) for c in rows.columns):
+        name += "_"
+    return marked(rows, masks(ids, *columns), *columns, name=name).where(name).drop(name)

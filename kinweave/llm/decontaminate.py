@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import table
+from kinweave.llm.common import only, table
 from kinweave.plans.staging import staged
 
 WIDTH, NEED = 5, (4, 5)  # shingle words; containment 4/5
@@ -77,13 +77,13 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     if sum(r["n"] for r in sizes) <= BROADCAST_ROWS:
         probes = F.broadcast(probes)
     split = docs.select("doc_id", words(F.col("text")).alias("w"))
-    found = None
-    for width in sorted(r["width"] for r in sizes) or [WIDTH]:
-        hashes = split.select("doc_id", F.explode(F.array_distinct(shingle_hash("w", width))).alias("h"))
-        pairs = hashes.join(probes.where(F.col("width") == width), "h").select("doc_id", "key")
-        found = pairs if found is None else found.union(pairs)
-    candidates = found.distinct().join(sketches.select("key", "item_id", "width", "shingles", "q"), "key")
-    joined = docs.join(candidates, "doc_id").withColumn("w", words(F.col("text")))
+    # Shingles of all widths that items have, in one pass; those of another width than the item's fail the verification.
+    every = F.concat(*(shingle_hash("w", width) for width in sorted(r["width"] for r in sizes) or [WIDTH]))
+    hashes = split.select("doc_id", F.explode(F.array_distinct(every)).alias("h"))
+    found = staged(hashes.join(probes, "h").select("doc_id", "key").distinct(), "candidates")
+    candidates = found.join(sketches.select("key", "item_id", "width", "shingles", "q"), "key")
+    # Only texts with a candidate travel, as far as a filter of bounded size can tell.
+    joined = only(docs, found, "doc_id").join(candidates, "doc_id").withColumn("w", words(F.col("text")))
     held = shingle_text("w", WIDTH)
     for n in range(1, WIDTH):
         held = F.when(F.col("width") == n, shingle_text("w", n)).otherwise(held)
@@ -110,15 +110,20 @@ ORACLE = r"""
 WITH d AS (
   SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents WHERE doc_id IS NOT NULL
 ), i AS (
-  SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE item_id IS NOT NULL
-), ds AS (
-  SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5)
+  SELECT item_id, text, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE item_id IS NOT NULL
+), sized AS (
+  SELECT *, least(len(w), 5) AS n FROM i WHERE w <> ['']
 ), items AS (
-  SELECT DISTINCT item_id, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM i WHERE len(w) >= 5)
+  SELECT DISTINCT item_id, text, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM sized)
+), ds AS (
+  SELECT DISTINCT doc_id, n, array_to_string(w[p:p + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM sized) WHERE w <> [''] AND len(w) >= n)
 ), q AS (
-  SELECT item_id, count(*) AS q FROM items GROUP BY item_id
+  SELECT item_id, text, count(*) AS q FROM items GROUP BY item_id, text
 ), m AS (
-  SELECT doc_id, item_id, count(*) AS m FROM ds JOIN items USING (s) GROUP BY doc_id, item_id
+  SELECT doc_id, item_id, text, count(*) AS m FROM ds JOIN items USING (n, s) GROUP BY doc_id, item_id, text
+), best AS (
+  SELECT doc_id, item_id, max(row(CAST(m AS DOUBLE) / q, q, m)) AS b FROM m JOIN q USING (item_id, text) GROUP BY doc_id, item_id
 )
-SELECT doc_id, item_id, q AS n_shingles, m AS n_found, CAST(m AS DOUBLE) / q AS containment FROM m JOIN q USING (item_id) WHERE m * 5 >= q * 4
+SELECT doc_id, item_id, b[2] AS n_shingles, b[3] AS n_found, b[1] AS containment FROM best WHERE b[3] * 5 >= b[2] * 4
 """

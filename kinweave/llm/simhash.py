@@ -28,6 +28,8 @@ from kinweave.plans.staging import staged
 SEED, WIDTH, BITS, BUDGET = 42, 3, 64, 3
 #: Pairs that a leaf of the traversal compares directly, node pairs and leaf pairs held at once, rows of a chunk.
 LEAF, FRONTIER, COMPARE, CHUNK = 64, 1 << 18, 1 << 20, 1 << 18
+#: Fingerprints up to which a bucket is one subtree of one task.
+HOT = 1 << 18
 
 
 def shingle_hashes(text: str, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
@@ -155,32 +157,54 @@ def _rotated(fp, shift: int):
     return F.shiftleft(fp, shift).bitwiseOR(F.shiftrightunsigned(fp, BITS - shift)) if shift else fp
 
 
-def fingerprint_edges(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """``(src, dst)`` between ``rep`` values whose distinct ``fp`` link; connects as all links would."""
+def _changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a row differs from the one before."""
+    return np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+
+
+def fingerprint_edges(prints: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
+    """``(src, dst)`` between ``rep`` values whose distinct ``fp`` link; connects as all links would.
+
+    Rows need a ``rep``. A bucket of more than ``hot`` fingerprints is split: two that link within it
+    agree in one of ``budget + 1`` parts of their other bits too, so it is dealt out again by each of these.
+    """
     starts = [round(BITS * k / (budget + 1)) for k in range(budget + 2)]
     widths = [b - a for a, b in zip(starts, starts[1:])]
     turned = F.array(*(
         F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(_rotated(F.col("fp"), starts[k]), BITS - widths[k]).alias("bucket"), _rotated(F.col("fp"), starts[k]).alias("key"))
         for k in range(budget + 1)
     ))
-    dealt = prints.select("rep", F.inline(turned)).repartition("block", "bucket").sortWithinPartitions("block", "bucket")
+    whole = prints.select("rep", F.inline(turned))
+    # At most a row for each value of each block.
+    large = whole.groupBy("block", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("block", "bucket", F.lit(True).alias("large"))
+    told = whole.join(F.broadcast(large), ["block", "bucket"], "left")
+
+    def parts(k: int) -> F.Column:
+        left = BITS - widths[k]
+        cuts = [round(left * j / (budget + 1)) for j in range(budget + 2)]
+        return F.array(*(F.struct(F.lit(j).alias("part"), F.shiftrightunsigned(F.shiftleft("key", widths[k] + cuts[j]), BITS - cuts[j + 1] + cuts[j]).alias("piece")) for j in range(budget + 1)))
+
+    again = F.lit(None)
+    for k in range(budget + 1):
+        again = F.when(F.col("block") == k, parts(k)).otherwise(again)
+    once = F.array(F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("piece")))
+    groups = ["block", "bucket", "part", "piece"]
+    split = told.select("rep", "key", "block", "bucket", F.inline(F.when(F.col("large"), again).otherwise(once)))
+    dealt = split.repartition(*groups).sortWithinPartitions(*groups)
 
     def run(batches):
         held, rows = [], 0
 
         def edges(batch: pa.Table):
-            block = batch.column("block").to_numpy()
-            rep = batch.column("rep").to_numpy()
+            columns = {n: batch.column(n).to_numpy() for n in (*groups, "rep")}
             key = batch.column("key").to_numpy().view(np.uint64)
-            order = np.lexsort((key, block))
-            block, rep, key = block[order], rep[order], key[order]
-            for k in np.unique(block):
-                a, b = np.searchsorted(block, k), np.searchsorted(block, k, "right")
-                keys, reps = key[a:b], rep[a:b]
-                top = widths[k]
-                head = keys >> np.uint64(BITS - top)
-                bounds = np.concatenate(([0], np.flatnonzero(head[1:] != head[:-1]) + 1, [len(keys)]))
-                root = trie_links(keys, bounds, top, budget)
+            order = np.lexsort((key, *(columns[n] for n in reversed(groups))))
+            columns, key = {n: c[order] for n, c in columns.items()}, key[order]
+            cuts = _changes([columns[n] for n in groups])
+            for k in np.unique(columns["block"]):
+                a, b = np.searchsorted(columns["block"], k), np.searchsorted(columns["block"], k, "right")
+                bounds = np.concatenate(([0], cuts[(cuts > a) & (cuts < b)] - a, [b - a]))
+                reps, root = columns["rep"][a:b], trie_links(key[a:b], bounds, widths[k], budget)
                 linked = np.flatnonzero(root != np.arange(len(root)))
                 if len(linked):
                     yield pa.RecordBatch.from_pydict({"src": reps[linked], "dst": reps[root[linked]]})
@@ -192,10 +216,9 @@ def fingerprint_edges(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
             rows += batch.num_rows
             if rows >= CHUNK:
                 whole = pa.Table.from_batches(held)
-                block, bucket = whole.column("block").to_numpy(), whole.column("bucket").to_numpy()
-                cut = np.flatnonzero((block[1:] != block[:-1]) | (bucket[1:] != bucket[:-1]))
+                cut = _changes([whole.column(n).to_numpy() for n in groups])
                 if len(cut):  # up to the last bucket that is surely whole
-                    at = int(cut[-1]) + 1
+                    at = int(cut[-1])
                     yield from edges(whole.slice(0, at))
                     held = whole.slice(at).to_batches()
                     rows = whole.num_rows - at

@@ -366,3 +366,45 @@ def test_substring_levels(spark, window, first, lengths):
 def test_substring_without_repeats_ends_early(spark):
     docs = [(d, " ".join(f"w{d}_{i}" for i in range(40))) for d in range(5)]
     assert rows(substring.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string"), first=3)) == brute_substring(docs)
+
+
+@pytest.mark.parametrize("hot", [1 << 18, 3])
+def test_fingerprint_edges_of_one_huge_bucket(spark, hot):
+    """Fingerprints that all agree in one block: the components are those of all links, however buckets are split."""
+    from kinweave.operators.components import connected_components
+
+    rng = random.Random(8)
+    base = [rng.getrandbits(48) for _ in range(25)]
+    prints = sorted({(x ^ sum(1 << rng.randrange(48) for _ in range(rng.randint(0, 4))) & ((1 << 48) - 1)) | 0xABCD << 48 for x in base for _ in range(30)})
+    root = {x: x for x in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(prints):
+        for b in prints[:i]:
+            if (a ^ b).bit_count() <= 3:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    frame = spark.createDataFrame([(i, signed(x)) for i, x in enumerate(prints)], "rep long, fp long")
+    got = {r["id"]: r["component"] for r in connected_components(simhash.fingerprint_edges(frame, hot=hot)).collect()}
+    place = {x: i for i, x in enumerate(prints)}
+    want = {place[x]: place[find(x)] for x in prints}
+    assert {i: got.get(i, i) for i in want} == want and len(set(want.values())) < len(want)
+
+
+def test_short_items_have_sql(spark, tmp_path):
+    import duckdb
+
+    docs = [(1, "The cat sat on the mat today."), (2, "A cat"), (3, None), (4, ""), (5, "one two three four five six seven"), (6, "two THREE! four"), (6, "cat")]
+    items = [(10, "Cat!"), (11, "the mat"), (12, "two three four"), (13, "one two three four five six"), (14, "--"), (15, None), (10, "sat on the mat")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = rows(decontaminate.op3_benchmark_decontamination(spark, str(tmp_path)))
+    assert got == sorted(c.sql(decontaminate.ORACLE).fetchall(), key=repr) and len(got) >= 6
